@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a longest run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,5 +58,13 @@ def clipped_batches(batch, most_bytes: int = 16 << 20):
         yield batch.slice(at, step)
 
 
+def with_fields(df: DataFrame, *fields: str) -> StructType:
+    """df's schema and the fields, each given as "name type"."""
+    out = StructType(list(df.schema.fields))
+    for field in fields:
+        out.add(*field.split())
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
