@@ -27,7 +27,8 @@ BROADCAST_ROWS = 500_000
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """The words of a line; splitting at one plain character needs no regular expression."""
+    return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
 
 
 def half(n: Column) -> Column:
@@ -44,10 +45,14 @@ def half_keys(words: Column, n: Column) -> Column:
     return F.concat(first, last)
 
 
+def raw_lines(docs: DataFrame) -> DataFrame:
+    """k, th (the document: its id and its text's hash), pos (from 0) and line."""
+    return docs.select(row_key().alias("k"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """k, th (the document: its id and its text's hash), pos (from 0), words, n, h1 and h2 (the line's hash)."""
-    rows = docs.select(row_key().alias("k"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = rows.select("k", "th", "pos", words_of(F.col("line")).alias("words")).withColumn("n", F.size("words"))
+    """k, th, pos, words, n, h1 and h2 (the line's hash) of lines of MIN_WORDS words or more."""
+    rows = raw_lines(docs).select("k", "th", "pos", words_of(F.col("line")).alias("words")).withColumn("n", F.size("words"))
     rows = rows.filter(F.col("n") >= MIN_WORDS)
     return rows.withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
 
@@ -77,15 +82,17 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     likely = keys.join(shared, "key").select("h1").distinct()
     # one occurrence, the first, of each line that shares a half with another line
     firsts = stage(classes.filter("long").join(likely, "h1", "left_semi").select("h1", "h2", "first.*"), "likely-lines")
-    own = lines_of(docs).filter(F.col("n") >= NEAR_WORDS).select("k", "th", "pos", "h1", "h2", "words")
-    lines = own.join(small(firsts), ["k", "th", "pos", "h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
-    lines = stage(lines.select("h1", "h2", place.alias("first"), "words"), "likely-words")
+    lines = raw_lines(docs).join(small(firsts), ["k", "th", "pos"]).dropDuplicates(["h1", "h2"])
+    lines = stage(lines.select("h1", "h2", place.alias("first"), words_of(F.col("line")).alias("words")), "likely-words")
 
-    n = F.size("words")
+    n = F.size("w")
     i = F.col("i")
-    without = F.concat(F.slice("words", F.lit(1), F.greatest(i - 1, F.lit(0))), F.slice("words", i + 1, F.greatest(n - i, F.lit(0))))
-    spots = lines.select("h1", "h2", "first", "words", F.explode(F.sequence(F.lit(0), n)).alias("i"))
-    spots = spots.select("h1", "h2", "first", "i", F.when(i == 0, F.xxhash64("words")).otherwise(F.xxhash64(without)).alias("v"))
+    # variants are hashed over the words' hashes, which are shorter than the words
+    without = F.concat(F.slice("w", F.lit(1), F.greatest(i - 1, F.lit(0))), F.slice("w", i + 1, F.greatest(n - i, F.lit(0))))
+    spots = lines.select("h1", "h2", "first", F.transform("words", lambda w: F.xxhash64(w)).alias("w"))
+    spots = spots.select("h1", "h2", "first", "w", F.explode(F.sequence(F.lit(0), n)).alias("i"))
+    spots = spots.select("h1", "h2", "first", "i", F.when(i == 0, F.xxhash64("w")).otherwise(F.xxhash64(without)).alias("v"))
+    spots = stage(spots, "variants")
     twice = spots.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1").select("v")
     spots = stage(spots.join(twice, "v"), "neighbours")
     who = F.struct("first", "h1", "h2")
