@@ -58,6 +58,35 @@ def clipped_batches(batch, most_bytes: int = 16 << 20):
         yield batch.slice(at, step)
 
 
+class Remembered(dict):
+    """What has been found out about words, for two generations of `most` words each: a word that is not
+    asked for while `most` others are new is forgotten."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def unknown(self, words: set) -> list:
+        """The words to find out about; all others of them are in self afterwards."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > self.most:
+            self.old = dict(self)
+            self.clear()
+            new = list(words)
+        if not self.old:
+            return new
+        old, out = self.old, []
+        for w in new:
+            if w in old:
+                self.promote(w)
+            else:
+                out.append(w)
+        return out
+
+    def promote(self, word) -> None:
+        self[word] = self.old[word]
+
+
 def with_fields(df: DataFrame, *fields: str) -> StructType:
     """df's schema and the fields, each given as "name type"."""
     out = StructType(list(df.schema.fields))

@@ -10,57 +10,102 @@ and prefix sums of the buckets' counts, so a length that a third of all pieces s
 from __future__ import annotations
 
 import bisect
+import struct
+import unicodedata
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import clipped_batches, row_key, stage, table, with_fields
+from ._common import Remembered, clipped_batches, row_key, stage, table, with_fields
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers at most; it then begins anew.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, in each of two generations.
+REMEMBERED = 600_000
 _TOKENIZERS: dict[str, "WordIds"] = {}
 
 
-class WordIds(dict):
+def byte_characters() -> dict[int, int]:
+    """How byte-level tokenizers write a byte: visible Latin-1 characters stand for themselves, the
+    others, in order, for the code points from 256."""
+    visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in visible]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
+def plain_letters(word: str) -> bool:
+    """Whether a word has letters only, in lower case and composed, so that nothing normalizes it."""
+    return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+
+@cache
+def pack_ids(n: int):
+    return struct.Struct(f"<{n}I").pack
+
+
+class WordIds(Remembered):
     """Little-endian uint32 ids of white-space-free words, as bytes.
 
     The tokenizer drops white space and its pieces never reach over it, so a text's ids are those of
-    its words, one after another. New words are encoded together, and parted by the offsets.
+    its words, one after another. New words are encoded together, parted by a mark that is a piece of
+    its own. Where the tokenizer lower-cases and parts a final comma or full stop from letters, words
+    are remembered without case and without these.
     """
 
+    MARK = "\x01"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
+        super().__init__(REMEMBERED)
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        mark = self.encode(self.MARK)
+        self.mark = mark[0] if len(mark) == 1 and self.encode(f"a {self.MARK} b") == self.encode("a") + mark + self.encode("b") else None
+        self.lowers = self.encode("QUITE So") == self.encode("quite so")
+        # a word of letters is one piece, which goes to the model as it is, its bytes written as
+        # characters, where that gives the same ids
+        model, written = tokenizer.model, byte_characters()
+        self.direct = lambda word: [t.id for t in model.tokenize(word.translate(written))]
+        tried = ("a", "word", "quite", "thorreou", "zqxj", "antidisestablishment", "été", "straße", "ñandú", "слово", "日本")
+        self.letters = self.lowers and all(self.direct(w.encode().decode("latin-1")) == self.encode(w) for w in tried)
+        self.ends = [e for e in (b".", b",") if self.encode("word" + e.decode()) == self.encode("word") + self.encode(e.decode())]
+
+    def raw(self, text: str) -> bytes:
+        return np.array(self.encode(text), "<u4").tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(words)
-        at, most = 0, 1 << 16
-        while at < len(new):
-            part, size = [], 0
-            while at < len(new) and size < most:
-                part.append(new[at].decode("utf-8", "replace"))
-                size += len(part[-1]) + 1
-                at += 1
-            found = self.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            starts = np.fromiter((s for s, _ in found.offsets), np.int64, len(ids))
-            edges = np.searchsorted(starts, np.cumsum([0, *(len(p) + 1 for p in part)]))
-            raw = ids.tobytes()
-            for k, word in enumerate(new[at - len(part) : at]):
-                self[word] = raw[4 * edges[k] : 4 * edges[k + 1]]
+        new = self.unknown(words)
+        ended = [w for w in new if w[-1:] in self.ends and w[-2:-1].isalpha()]
+        plain = set(new).difference(ended)
+        plain.update(w[:-1] for w in ended)
+        mark = self.MARK.encode()
+        for w in plain:
+            if w in self:
+                continue
+            if self.letters and (w.isalpha() and w.islower() or plain_letters(w.decode("utf-8", "replace"))):
+                ids = self.direct(w.decode("latin-1"))
+                self[w] = pack_ids(len(ids))(*ids)
+            elif self.mark is None or mark in w:
+                self[w] = self.raw(w.decode("utf-8", "replace"))
+        plain = [w for w in plain if w not in self]
+        for at in range(0, len(plain), 8192):
+            part = plain[at : at + 8192]
+            ids = np.array(self.encode(f" {self.MARK} ".join([w.decode("utf-8", "replace") for w in part])), "<u4")
+            edges = np.flatnonzero(ids == self.mark)
+            raw, starts, stops = ids.tobytes(), [0, *(4 * edges + 4).tolist()], [*(4 * edges).tolist(), 4 * len(ids)]
+            self.update(zip(part, [raw[a:b] for a, b in zip(starts, stops)]))
+        tail = {e: self.raw(e.decode()) for e in self.ends}
+        for w in ended:
+            self[w] = self[w[:-1]] + tail[w[-1:]]
 
     def texts(self, texts: list[bytes | None]):
         """The ids of each text, as bytes."""
-        split = [(x or b"").split() for x in texts]
+        # a special token's sign is told by case, so such texts keep theirs
+        split = [((x or b"").lower() if self.lowers and b"<|" not in (x or b"") else (x or b"")).split() for x in texts]
         self.learn(set().union(*split))
         for words in split:
             yield b"".join(map(self.__getitem__, words))
@@ -83,7 +128,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
         ids_of = word_ids(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for batch in clipped_batches(whole):
+            for batch in clipped_batches(whole, 4 << 20):
                 rows: list[tuple] = []
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), ids_of.texts(batch.column("text").cast(pa.binary()).to_pylist())):
                     ids += end
