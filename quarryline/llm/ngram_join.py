@@ -12,9 +12,10 @@ filter on what the one before has left:
    sets are intersected.
 
 Equal sets are one class, compared once. Buckets aren't expanded into pairs: a bucket's members meet its
-first member, links make components, and only members of a bucket that are then still in different
+most central member, links make components, and only members of a bucket that are then still in different
 components meet each other, those of its largest component excepted among themselves. So no pair is left
-out that could join two components.
+out that could join two components. Members of small buckets meet by a join. Those of large ones are
+dealt into blocks of bounded size, and each pair of blocks gives its links, not its pairs.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ WORDS = 5
 REMEMBERED = 500_000
 #: As in line_dedup: a counted table of no more rows is broadcast, a larger one joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Star rounds go on while the pairs left are more than so many times the bucket entries.
-STAR_WORK, STAR_ROUNDS = 4, 8
+#: Buckets of more members are compared in blocks, of so many sets and tokens.
+SMALL_BUCKET, BLOCK_SETS, BLOCK_TOKENS = 48, 128, 1 << 19
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -46,6 +47,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
+    """Hashes of words; forgets all when REMEMBERED are there, as a hash is soon made again."""
+
     def __missing__(self, word: bytes) -> int:
         if len(self) > REMEMBERED:
             self.clear()
@@ -108,31 +111,39 @@ def met(rows: DataFrame) -> DataFrame:
     return entries.join(shared, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("met"))
 
 
-def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets in full (id, tokens) are similar."""
+def first_quarter(x: np.ndarray) -> np.ndarray:
+    """A set's prefix under the first order; sets are kept in it."""
+    return x[: len(x) - needed(len(x)) + 1]
 
-    def prefix(x: np.ndarray) -> np.ndarray:
-        p = len(x) - needed(len(x)) + 1
-        return x[np.argpartition(mixed(x.view(np.uint64)), p - 1)[:p]]
 
-    def similar(x: np.ndarray, y: np.ndarray) -> bool:
-        if 4 * min(len(x), len(y)) < 3 * max(len(x), len(y)):
-            return False
-        px, py = x[: len(x) - needed(len(x)) + 1], y[: len(y) - needed(len(y)) + 1]
-        if not len(np.intersect1d(px, py, True)) or not len(np.intersect1d(prefix(x), prefix(y), True)):
+def third_quarter(x: np.ndarray) -> np.ndarray:
+    """A set's prefix under the third order."""
+    p = len(x) - needed(len(x)) + 1
+    return x[np.argpartition(mixed(x.view(np.uint64)), p - 1)[:p]]
+
+
+def list_slices(column) -> list[np.ndarray]:
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    return [flat[i:j] for i, j in zip(ends[:-1], ends[1:])]
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    if 4 * min(len(x), len(y)) < 3 * max(len(x), len(y)):
+        return False
+    for prefix in (first_quarter, third_quarter):
+        if not len(np.intersect1d(prefix(x), prefix(y), True)):
             return False
-        both = len(np.intersect1d(x, y, True))
-        return 100 * both >= 75 * (len(x) + len(y) - both)
+    both = len(np.intersect1d(x, y, True))
+    return 100 * both >= 75 * (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets in full (id, tokens) are similar."""
 
     def run(batches):
         for big in batches:
             for batch in clipped_batches(big):
-                cut = []
-                for c in ("x", "y"):
-                    col = batch.column(c)
-                    ends, flat = col.offsets.to_numpy(), col.values.to_numpy()
-                    cut.append([flat[i:j] for i, j in zip(ends[:-1], ends[1:])])
-                keep = pa.array([similar(x, y) for x, y in zip(*cut)], pa.bool_())
+                keep = pa.array([similar(x, y) for x, y in zip(list_slices(batch.column("x")), list_slices(batch.column("y")))], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     x = full.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
@@ -140,52 +151,99 @@ def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def labelled(buckets: DataFrame, links: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame | None]:
-    """buckets (t, id, n) with each id's component by the links; the components."""
-    if links is None:
-        return buckets.withColumn("label", F.col("id")), None
-    comps = components(links, name)
-    out = buckets.join(comps.select(F.col("node").alias("id"), "root"), "id", "left")
-    return out.select("t", "id", "n", F.coalesce("root", "id").alias("label")), comps
-
-
-def mixed_buckets(now: DataFrame, name: str) -> DataFrame:
-    """The entries (t, id, n, label) of buckets with more than one component, with the bucket's size,
-    its largest component (main) and how many entries aren't of it (others)."""
+def shared_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of xs shares with each of ys."""
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    common = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+    step = max(1, (1 << 24) // (len(xs) + len(ys)))
+    for at in range(0, len(common), step):
+        part = common[at : at + step]
+        a, b = np.zeros((len(xs), len(part)), np.float32), np.zeros((len(ys), len(part)), np.float32)
+        for rows, sets_ in ((a, xs), (b, ys)):
+            for k, s in enumerate(sets_):
+                place = np.minimum(np.searchsorted(part, s), len(part) - 1)
+                rows[k, place[part[place] == s]] = 1
+        out += a @ b.T
+    return out
+
+
+def links_of_blocks(t: pa.Table) -> pa.Table:
+    """Links (a, b) between the sets of two blocks, or within one, of different components."""
+    side = t.column("side").to_numpy()
+    ids, label = t.column("id").to_numpy(), t.column("label").to_numpy()
+    tokens = [x for c in t.column("tokens").chunks for x in list_slices(c)]
+    one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    within = not len(two)
+    two = one if within else two
+    if not len(one):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    xs, ys = [tokens[k] for k in one], [tokens[k] for k in two]
+    n, m = np.array([len(x) for x in xs])[:, None], np.array([len(y) for y in ys])[None, :]
+    good = (label[one][:, None] != label[two][None, :]) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
+    if within:
+        good &= np.triu(np.ones_like(good), 1)
+    for prefix in (first_quarter, third_quarter):
+        if good.any():
+            good &= shared_counts([np.sort(prefix(x)) for x in xs], [np.sort(prefix(y)) for y in ys]) > 0
+    if good.any():
+        both = shared_counts(xs, ys)
+        good &= 100 * both >= 75 * (n + m - both)
+    i, j = np.nonzero(good)
+    a, b = ids[one][i], ids[two][j]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
+def links_in_blocks(entries: DataFrame, full: DataFrame) -> DataFrame:
+    """Links between members of large buckets (entries: t, id, n, label, main) of different components.
+
+    Documents that such buckets hold together make a cluster. Those outside of some bucket's largest
+    component (the others) meet each other and the rest; the rest don't meet among themselves.
+    """
+    least = entries.groupBy("t").agg(F.min("id").alias("b"))
+    clusters = components(entries.select("t", F.col("id").alias("a")).join(least, "t").select("a", "b"), "clusters")
+    docs = entries.groupBy("id").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.max(F.col("label") != F.col("main")).alias("other"))
+    docs = stage(docs.join(clusters.select(F.col("node").alias("id"), "root"), "id"), "clustered")
+    blocks = lambda when: F.greatest(F.ceil(F.count(F.when(when, 1)) / BLOCK_SETS), F.ceil(F.coalesce(F.sum(F.when(when, F.col("n").cast("long"))), F.lit(0)) / BLOCK_TOKENS)).cast("int")
+    sizes = docs.groupBy("root").agg(blocks(F.col("other")).alias("p"), blocks(~F.col("other")).alias("q"))
+    docs = docs.join(sizes, "root")
+    mine = F.pmod(F.xxhash64("id"), F.when(F.col("other"), F.col("p")).otherwise(F.col("q"))).cast("int")
+    docs = docs.withColumn("mine", mine)
+    key = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    mates = F.transform(upto("p"), lambda k: key("o", F.least(F.col("mine"), k), F.greatest(F.col("mine"), k), F.col("mine") > k))
+    rests = F.transform(upto("q"), lambda k: key("r", F.col("mine"), k, F.lit(0)))
+    others = F.transform(upto("p"), lambda k: key("r", k, F.col("mine"), F.lit(1)))
+    dealt = docs.select("root", "id", "label", F.explode(F.when(F.col("other"), F.concat(mates, rests)).otherwise(others)).alias("key"))
+    dealt = dealt.join(full.select("id", "tokens"), "id").select("root", "key.*", "id", "label", "tokens")
+    return dealt.groupBy("root", "kind", "i", "j").applyInArrow(links_of_blocks, "a long, b long")
+
+
+def links_between(buckets: DataFrame, full: DataFrame) -> DataFrame:
+    """Links (a, b) enough to join all that similarity joins; buckets: t, id, n and m, the set's tokens
+    that others have too. They bound what two sets can share."""
+    fits = lambda n, m: (4 * F.least("n", n) >= 3 * F.greatest("n", n)) & (7 * F.least("m", m) >= 3 * (F.col("n") + F.col(n)))
+    # the most central member has the least share of tokens of its own
+    central = F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("own"), F.col("id").alias("i"), F.col("n").alias("k"), F.col("m").alias("l"))
+    pivot = buckets.groupBy("t").agg(F.min(central).alias("p")).select("t", "p.*")
+    pairs = buckets.join(pivot, "t").filter((F.col("id") != F.col("i")) & fits("k", "l"))
+    pairs = pairs.select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b")).distinct()
+    links = stage(verified(pairs, full), "star-links")
+
+    comps = components(links, "labels")
+    now = buckets.join(comps.select(F.col("node").alias("id"), F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
     per = now.groupBy("t", "label").agg(F.count("*").alias("c"))
-    per = per.groupBy("t").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("size"), F.count("*").alias("labels")).filter("labels > 1")
-    per = per.select("t", F.col("m.label").alias("main"), "size", (F.col("size") - F.col("m.c")).alias("others"))
-    return stage(now.join(per, "t"), name)
-
-
-def links_between(buckets: DataFrame, full: DataFrame) -> DataFrame | None:
-    """Links (a, b) enough to join all that similarity joins; buckets: t, id, n."""
-    links, done = None, None
-    for k in range(STAR_ROUNDS):
-        now, _ = labelled(buckets, links, f"labels-{k}")
-        now = mixed_buckets(now, f"buckets-{k}")
-        work = now.filter("label <> main").agg(F.sum("size").alias("w"), F.count("*").alias("n")).first()
-        if not work["n"]:
-            return links
-        if k and work["w"] <= STAR_WORK * buckets.count():
-            break
-        # the first member outside the largest component meets all members of other components
-        pivot = now.filter("label <> main").groupBy("t").agg(F.min(F.struct("id", "n", "label")).alias("p"))
-        near = (4 * F.least("n", "p.n") >= 3 * F.greatest("n", "p.n")) & (F.col("label") != F.col("p.label"))
-        pairs = now.join(pivot, "t").filter(near).select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
-        pairs = pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs
-        pairs = stage(pairs, f"star-{k}")
-        done = pairs if done is None else done.unionByName(pairs)
-        found = stage(verified(pairs, full), f"links-{k}")
-        links = found if links is None else links.unionByName(found)
-    now, _ = labelled(buckets, links, "labels-last")
-    now = mixed_buckets(now, "buckets-last")
-    x = now.filter("label <> main").select("t", F.col("id").alias("i"), F.col("n").alias("m"), F.col("label").alias("l"))
-    y = now.select("t", "id", "n", "label", "main")
-    fits = (F.col("l") != F.col("label")) & (4 * F.least("m", "n") >= 3 * F.greatest("m", "n")) & ((F.col("label") == F.col("main")) | (F.col("i") < F.col("id")))
-    pairs = x.join(y, "t").filter(fits).select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct()
-    pairs = stage(pairs.join(done, ["a", "b"], "left_anti"), "rest")
-    return links.unionByName(stage(verified(pairs, full), "links-rest"))
+    per = per.groupBy("t").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("size"), F.count("*").alias("labels")).filter("labels > 1")
+    now = stage(now.join(per.select("t", F.col("main.label").alias("main"), "size"), "t"), "mixed-buckets")
+    few = now.filter(F.col("size") <= SMALL_BUCKET)
+    x = few.filter("label <> main").select("t", F.col("id").alias("i"), F.col("n").alias("k"), F.col("m").alias("l"), F.col("label").alias("own"))
+    once = (F.col("label") == F.col("main")) | (F.col("i") < F.col("id"))
+    pairs = x.join(few, "t").filter((F.col("own") != F.col("label")) & fits("k", "l") & once)
+    pairs = pairs.select(F.least("i", "id").alias("a"), F.greatest("i", "id").alias("b")).distinct()
+    links = links.unionByName(stage(verified(pairs, full), "small-links"))
+    many = now.filter(F.col("size") > SMALL_BUCKET)
+    if many.isEmpty():
+        return links
+    return links.unionByName(stage(links_in_blocks(many, full), "block-links"))
 
 
 def survivors(first: DataFrame, classes: DataFrame) -> DataFrame:
@@ -220,14 +278,12 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     rare = met(full.select("id", "tokens")).join(full.select("id", "n"), "id")
     room = F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1 - (F.col("n") - F.size("met"))
     rare = rare.withColumn("room", room.cast("int")).filter("room > 0")
-    buckets = stage(rare.select("id", "n", F.explode(F.slice("met", F.lit(1), F.col("room"))).alias("m")).select(F.col("m.t").alias("t"), "id", "n"), "buckets")
-    links = links_between(buckets, full)
+    rare = rare.select("id", "n", F.size("met").alias("m"), F.explode(F.slice("met", F.lit(1), F.col("room"))).alias("e"))
+    buckets = stage(rare.select(F.col("e.t").alias("t"), "id", "n", "m"), "buckets")
+    comps = components(links_between(buckets, full), "groups")
     out = first.select("k", "n", "s1", "s2")
-    named = classes.withColumn("root", F.col("id"))
-    if links is not None:
-        comps = components(links, "groups")
-        named = classes.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        named = stage(named, "named")
+    named = classes.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = stage(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
     named = named.join(least, "root").select("n", "s1", "s2", "component")
     out = out.join(named, ["n", "s1", "s2"], "left")
