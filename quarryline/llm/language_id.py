@@ -12,7 +12,6 @@ remember per word.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,26 +19,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import clipped_batches, fold, table, with_fields
+from ._common import Remembered, clipped_batches, fold, table, with_fields
 
-BUCKETS, DIM, ORDERS = 1 << 13, 16, (1, 2, 3, 4)
+BITS, DIM, ORDERS = 13, 16, (1, 2, 3, 4)
+BUCKETS = 1 << BITS
 #: Bound on the labelled rows that training reads, per language (in expectation) and in all.
 PER_LANG, IN_ALL = 800, 6000
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 UNKNOWN = "und"
 
 
-def runs_of(word: str) -> list[str]:
-    return word.split() if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split()
-
-
-def grams(word: str) -> list[int]:
-    """Buckets of the subwords of a white-space-free, lower-case string; none if it has no letter."""
-    out = []
-    for run in runs_of(word):
-        raw = f"<{run}>"
-        out += [zlib.crc32(raw[i : i + n].encode("utf-8", "replace")) % BUCKETS for n in ORDERS for i in range(len(raw) - n + 1) if n > 1 or 0 < i < len(raw) - 1]
-    return out
+_PRIME, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+
+
+def letter_runs(word: str) -> list[str]:
+    return [word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split()
+
+
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the subwords of lower-case words, and the number of the word that each is of. Words'
+    letter runs are laid out with marks around them, and n-grams within a run are hashed together."""
+    runs, owner = [], []
+    for k, word in enumerate(words):
+        found = letter_runs(word)
+        runs += found
+        owner += [k] * len(found)
+    if not runs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = np.frombuffer(f"<{'><'.join(runs)}>".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    opens, marks = code == ord("<"), (code == ord("<")) | (code == ord(">"))
+    run = np.cumsum(opens) - 1
+    buckets, whose = [], []
+    h = np.zeros(len(code), np.uint64)
+    for n in range(1, max(ORDERS) + 1):
+        h = h[: len(code) - n + 1] * _PRIME + code[n - 1 :]
+        if n in ORDERS:
+            good = run[: len(h)] == run[n - 1 :]
+            if n == 1:
+                good &= ~marks
+            at = np.flatnonzero(good)
+            buckets.append((((h[at] + np.uint64(n)) * _MIX) >> np.uint64(64 - BITS)).astype(np.int64))
+            whose.append(run[at])
+    return np.concatenate(buckets), np.array(owner)[np.concatenate(whose)]
 
 
 @dataclass
@@ -58,28 +79,42 @@ class Model:
         return z / z.sum(1, keepdims=True)
 
 
-class WordScores(dict):
+class WordScores(Remembered):
     """Word to row of `table`: what the word adds to the scores, and its number of subwords."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.table = model, np.zeros((1024, len(model.langs) + 1))
-
-    def __missing__(self, word: str) -> int:
-        at, found = len(self), grams(word)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at, :-1] = self.model.scores[found].sum(0) if found else 0
-        self.table[at, -1] = len(found)
-        self[word] = at
-        return at
-
-    def of(self, text: str) -> np.ndarray:
-        if len(self) > REMEMBERED:
-            self.clear()
-        words = text.lower().split()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.table[at].sum(0)
+        super().__init__(REMEMBERED)
+        self.model, self.table = model, np.zeros((0, len(model.langs) + 1))
+        self.kept: list[int] = []  # rows of words that moved from the last generation
+
+    def learn(self, words: set[str]) -> None:
+        last, self.kept = self.table, []
+        before = len(self)
+        new = self.unknown(words)
+        if len(self) - len(self.kept) < before:  # a generation began
+            self.last, self.table = last, last[:0]
+        if self.kept:
+            self.table = np.concatenate([self.table, self.last[self.kept]])
+        if not new:
+            return
+        buckets, whose = subwords(new)
+        rows = [np.bincount(whose, self.model.scores[buckets, k], len(new)) for k in range(len(self.model.langs))]
+        rows.append(np.bincount(whose, minlength=len(new)))
+        self.update(zip(new, range(len(self.table), len(self.table) + len(new))))
+        self.table = np.concatenate([self.table, np.stack(rows, 1)])
+
+    def promote(self, word: str) -> None:
+        self.kept.append(self.old[word])
+        self[word] = len(self)
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        """Sums over each text's words."""
+        split = [t.lower().split() for t in texts]
+        self.learn(set().union(*split))
+        out = np.zeros((len(texts), self.table.shape[1]))
+        for k, words in enumerate(split):
+            out[k] = self.table[np.fromiter(map(self.__getitem__, words), np.int64, len(words))].sum(0)
+        return out
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG, in_all: int = IN_ALL) -> list[tuple[str, np.ndarray, np.ndarray]]:
@@ -101,11 +136,10 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG, in_all: int = IN_ALL) -> l
 
     def run(batches):
         for whole in batches:
-            for batch in clipped_batches(whole):
+            for batch in clipped_batches(whole, 4 << 20):
                 out = []
                 for lang, text, order in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "order"))):
-                    found = [g for w in text.lower().split() for g in grams(w)]
-                    buckets, n = np.unique(np.array(found, np.int32), return_counts=True)
+                    buckets, n = np.unique(subwords(text.lower().split())[0], return_counts=True)
                     out.append((lang, order, buckets.astype("<u2").tobytes(), n.astype("<f4").tobytes()))
                 cols = list(zip(*out)) if out else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.binary(), pa.binary()))], names=["lang", "order", "buckets", "n"])
@@ -132,11 +166,10 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, batc
         order = rng.permutation(fit)
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
-            where = np.concatenate([means[i][0] for i in part])
-            weight = np.concatenate([means[i][1] for i in part])
-            row = np.repeat(np.arange(len(part)), [len(means[i][0]) for i in part])
-            hidden = np.zeros((len(part), DIM))
-            np.add.at(hidden, row, emb[where] * weight[:, None])
+            x = np.zeros((len(part), BUCKETS))
+            for k, i in enumerate(part):
+                x[k, means[i][0]] = means[i][1]
+            hidden = x @ emb
             z = hidden @ out + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
@@ -145,7 +178,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, batc
             back = p @ out.T
             out -= lr * hidden.T @ p
             bias -= lr * p.sum(0)
-            np.subtract.at(emb, where, lr * len(part) * back[row] * weight[:, None])
+            # a mean's parts are small, so their rows take the sum over the batch, not the mean
+            emb -= lr * len(part) * (x.T @ back)
             done += 1
     model = Model(langs, emb @ out, bias, 1.0, 0.0)
     check = np.flatnonzero(held) if held.any() else fit
@@ -183,9 +217,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         words = WordScores(model)
         for whole in batches:
-            for batch in clipped_batches(whole):
+            for batch in clipped_batches(whole, 4 << 20):
                 texts = batch.column("text").to_pylist()
-                sums = np.stack([words.of(x or "") for x in texts]) if texts else np.zeros((0, len(model.langs) + 1))
+                sums = words.of([x or "" for x in texts])
                 n = sums[:, -1]
                 known = (n > 0) & bool(model.langs)
                 best, score = np.zeros(len(texts), int), np.zeros(len(texts))
