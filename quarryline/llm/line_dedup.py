@@ -47,14 +47,16 @@ def half_keys(words: Column, n: Column) -> Column:
 
 def raw_lines(docs: DataFrame) -> DataFrame:
     """k, th (the document: its id and its text's hash), pos (from 0) and line."""
-    return docs.select(row_key().alias("k"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # hashed before the lines are parted, else each line would carry and hash its whole text
+    docs = docs.select(row_key().alias("k"), F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"))
+    return docs.select("k", "th", F.posexplode_outer("lines").alias("pos", "line"))
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """k, th, pos, words, n, h1 and h2 (the line's hash) of lines of MIN_WORDS words or more."""
-    rows = raw_lines(docs).select("k", "th", "pos", words_of(F.col("line")).alias("words")).withColumn("n", F.size("words"))
-    rows = rows.filter(F.col("n") >= MIN_WORDS)
-    return rows.withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
+    """k, th, pos, words, n, h1 and h2 (the line's hash). Not filtered by n here, as Spark would split a
+    line once for the filter and once for the rest."""
+    rows = raw_lines(docs).select("k", "th", "pos", words_of(F.col("line")).alias("words"))
+    return rows.withColumns({"n": F.size("words"), "h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -73,7 +75,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """k, th, removed (positions): a line goes if an equal or near line comes earlier, by document id
     (null last), text hash and position. What removed the earlier line doesn't matter."""
     place = F.struct("k", "th", "pos")
-    t1 = stage(lines_of(docs).select("k", "th", "pos", "h1", "h2", F.when(F.col("n") >= NEAR_WORDS, half_keys(F.col("words"), F.col("n"))).alias("keys")), "lines")
+    t1 = stage(lines_of(docs).select("k", "th", "pos", "n", "h1", "h2", F.when(F.col("n") >= NEAR_WORDS, half_keys(F.col("words"), F.col("n"))).alias("keys")), "lines")
+    t1 = t1.filter(F.col("n") >= MIN_WORDS)
     classes = t1.groupBy("h1", "h2").agg(F.min(place).alias("first"), (F.count("*") > 1).alias("again"), F.max(F.col("keys").isNotNull()).alias("long"))
     classes = stage(classes, "line-classes")
 
@@ -127,10 +130,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = gone.select(F.col("k").alias("_k"), F.col("th").alias("_th"), F.col("removed").alias("_removed"))
     out = docs.withColumns({"_row": row_key(), "_text": F.xxhash64("text")})
     out = out.join(small(gone), (F.col("_row") == F.col("_k")) & (F.col("_text") == F.col("_th")), "left")
-    lines = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed")), lambda i: F.get(lines, i))
+    out = out.withColumn("_lines", F.when(F.col("_removed").isNotNull(), F.split("text", "\n")))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_removed")), lambda i: F.get("_lines", i))
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     out = out.withColumns({"n_lines": n, "removed": F.coalesce("_removed", F.array().cast("array<int>")), "text": text})
     return out.select(*docs.columns, *ADDED)
 
