@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bestfit_pack, chat_format, curriculum_mix, hilbert_shards, language_id, line_dedup, ngram_join, telephony_audio, threshold_search
+from . import bestfit_pack, chat_format, curriculum_mix, hilbert_shards, language_id, line_dedup, lm_score, ngram_join, telephony_audio, threshold_search
 
 QUERIES = {
     "op1_threshold_search": threshold_search.op1_threshold_search,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_curriculum_mix": curriculum_mix.op3_curriculum_mix,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_language_id": language_id.op5_language_id,
+    "op6_lm_score": lm_score.op6_lm_score,
     "op7_telephony_audio": telephony_audio.op7_telephony_audio,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_hilbert_shards": hilbert_shards.op9_hilbert_shards,

@@ -283,10 +283,19 @@ def test_lm_is_a_distribution(trained):
         z = np.where(flat < 0, 0, model.inputs[flat])
         steps, at = divmod(n, lm_score.STEP)
         total = 0.0
+        def p(c, x):
+            full = lambda v: np.full((1, lm_score.STEP), v)
+            return np.exp(scorer.log_probabilities(z[place[steps : steps + 1]], full(c), full(x))[0, at])  # noqa: B023
+
+        clusters = model.members()
         for c in range(lm_score.SINGLES + lm_score.CLUSTERS + 1):
-            p = np.exp(scorer.log_classes(z[place[steps : steps + 1]], np.full((1, lm_score.STEP), c))[0, at])
-            members = model.classes == c
-            total += p * (10 ** model.inside[members]).sum() if c else p
+            if c in clusters:
+                assert set(clusters[c][0]) == set(model.inputs[model.classes == c])
+                total += sum(p(c, x) for x in clusters[c][0])
+            elif c == 0 or (model.classes == c).any():
+                total += p(c, 0) * ((10 ** model.inside[model.classes == c]).sum() if c else 1)
+            else:
+                total += p(c, 0)
         assert total == pytest.approx(1, abs=1e-4)
 
 
@@ -302,7 +311,9 @@ def test_lm_learns_and_scores_once(trained):
         z = np.where(flat < 0, 0, model.inputs[flat])
         for j in range(len(x) + 1):
             c = model.classes[x[j]] if j < len(x) else 0
-            slow += scorer.log_classes(z[place[j // lm_score.STEP]][None], np.full((1, lm_score.STEP), c))[0, j % lm_score.STEP] / np.log(10) + (model.inside[x[j]] if j < len(x) else 0)
+            full = lambda v: np.full((1, lm_score.STEP), v)
+            slow += scorer.log_probabilities(z[place[j // lm_score.STEP]][None], full(c), full(model.inputs[x[j]] if j < len(x) else 0))[0, j % lm_score.STEP] / np.log(10)
+            slow += model.inside[x[j]] if j < len(x) and c not in model.members() else 0
         assert slow == pytest.approx(s, abs=1e-3)
     ordered, shuffled = text(100), np.random.default_rng(3).permutation(text(100))
     assert scorer.score([ordered])[0] > scorer.score([shuffled])[0] + 10
