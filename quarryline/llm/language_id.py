@@ -178,8 +178,8 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, batc
             back = p @ out.T
             out -= lr * hidden.T @ p
             bias -= lr * p.sum(0)
-            # a mean's parts are small, so their rows take the sum over the batch, not the mean
-            emb -= lr * len(part) * (x.T @ back)
+            # the more subwords share a mean, the less each moves it, so the longer the step for each
+            emb -= lr * min(len(part), 1 / (x * x).sum(1).mean()) * (x.T @ back)
             done += 1
     model = Model(langs, emb @ out, bias, 1.0, 0.0)
     check = np.flatnonzero(held) if held.any() else fit
