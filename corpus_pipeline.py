@@ -1,7 +1,8 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next one's docs. All but the last return the columns of documents.
+again as the next one's docs. So a stage begins by removing what the stages before it have staged for
+themselves. All but the last return the columns of documents.
 
 language_id     documents that the classifier rejects (no letters, null text, or a calibrated
                 probability below its threshold) go
@@ -17,20 +18,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import bestfit_pack, curriculum_mix, language_id, line_dedup, ngram_join
-from quarryline.llm._common import stage
+from quarryline.llm._common import drop_staged, stage
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    drop_staged(spark)
     found = language_id.identify(docs, language_id.fit(docs.select("doc_id", "text", "lang")))
     return found.filter(~F.col("lang_rejected")).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    drop_staged(spark)
     out = line_dedup.dedup_lines(docs).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    drop_staged(spark)
     groups = stage(ngram_join.similar_groups(docs), "similar")
     lost = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.join(line_dedup.small(lost.withColumnRenamed("doc_id", "lost")), F.col("doc_id").eqNullSafe(F.col("lost")), "left_anti")
@@ -43,12 +47,14 @@ def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    drop_staged(spark)
     return curriculum_mix.curriculum(curriculum_mix.mix(docs, [1, 2, 3], whole=True)).select(*docs.columns)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    drop_staged(spark)
     return bestfit_pack.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -64,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stage(docs, name)
+            docs = stage(docs, name, keep=True)
     return docs

@@ -33,14 +33,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
+_STAGED: list[str] = []
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    keep: drop_staged leaves the table alone.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarryline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Removes the tables staged so far, for a caller whose results have been written elsewhere."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _STAGED:
+        path = hadoop(_STAGED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_key(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
 
