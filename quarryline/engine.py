@@ -107,6 +107,16 @@ class Engine:
         DataFrame(jdf, self.spark).createOrReplaceTempView(name)
         self.temp.add(name.lower())
 
+    def register_function(self, name: str, function, returns: str, aggregate: bool = False) -> None:
+        """A scalar function over pandas Series, or an aggregate from one Series to a value, for SQL.
+
+        Both get Arrow batches; an aggregate gets a group at once, so its groups must fit a task.
+        """
+        from pyspark.sql.pandas.functions import PandasUDFType
+
+        kind = PandasUDFType.GROUPED_AGG if aggregate else PandasUDFType.SCALAR
+        self.spark.udf.register(name, F.pandas_udf(function, parse_type(returns).spark, kind))
+
     # names
 
     @property

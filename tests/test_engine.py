@@ -225,3 +225,30 @@ def test_wal_and_log_records(db):
     for op, pre, post in (("INSERT", {"a": 1}, {"a": 1}), ("DELETE", None, None), ("UPDATE", None, {"a": 1})):
         with pytest.raises(TransactionError):
             log_record("x", [{"table": "t", "op": op, "key": {}, "pre_image": pre, "post_image": post}], 5)
+
+
+def test_python_functions(db):
+    db.script("CREATE TABLE t (k INT, v DOUBLE); INSERT INTO t VALUES (1, 1), (1, 3), (2, 5)")
+    db.register_function("twice", lambda v: v * 2, "DOUBLE")
+    db.register_function("spread", lambda v: float(v.max() - v.min()), "DOUBLE", aggregate=True)
+    assert rows(db, "SELECT twice(v) AS w FROM t") == [(2.0,), (6.0,), (10.0,)]
+    assert rows(db, "SELECT k, spread(v) AS s FROM t GROUP BY k") == [(1, 2.0), (2, 0.0)]
+
+
+def test_event_windows(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quarryline.streaming.windows import sessions, windowed
+
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    day = windowed(events, "ts", "1 day", ["event_type"], [F.count("*").alias("n")])
+    want = events.groupBy(F.date_trunc("day", "ts").alias("d"), "event_type").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, day.select("window_start", "event_type", "n").collect())) == sorted(map(tuple, want.collect()))
+    assert windowed(events, "ts", "1 day", [], [F.count("*").alias("n")], slide="12 hours").agg(F.sum("n")).first()[0] == 2 * events.count()
+    assert sessions(events, "ts", "1 hour", ["user_id"], [F.count("*").alias("n")]).agg(F.sum("n")).first()[0] == events.count()
+    events.write.parquet(str(tmp_path / "in"))
+    stream = windowed(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), "ts", "1 day", ["event_type"], [F.count("*").alias("n")], late="1 hour")
+    q = stream.writeStream.outputMode("append").format("memory").queryName("windows_out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    closed = {tuple(r) for r in spark.table("windows_out").select("window_start", "event_type", "n").collect()}
+    assert closed and closed <= {tuple(r) for r in want.collect()}
