@@ -279,13 +279,12 @@ def test_lm_is_a_distribution(trained):
     scorer = lm_score.Scorer(model)
     for n in (0, 3, 40):
         head = text(n) if n else np.zeros(0, int)
-        place, flat, first, sizes = lm_score.windows([head])
-        z = np.where(flat < 0, 0, model.inputs[flat])
+        z = scorer.inputs[lm_score.windows([head])[0]]
         steps, at = divmod(n, lm_score.STEP)
         total = 0.0
         def p(c, x):
             full = lambda v: np.full((1, lm_score.STEP), v)
-            return np.exp(scorer.log_probabilities(z[place[steps : steps + 1]], full(c), full(x))[0, at])  # noqa: B023
+            return np.exp(scorer.log_probabilities(z[steps : steps + 1], full(c), full(x))[0, at])  # noqa: B023
 
         clusters = model.members()
         for c in range(lm_score.SINGLES + lm_score.CLUSTERS + 1):
@@ -307,12 +306,11 @@ def test_lm_learns_and_scores_once(trained):
     for x, s in zip(texts, got):
         assert scorer.score([x])[0] == pytest.approx(s, abs=1e-3)
         slow = 0.0  # one token at a time
-        place, flat, *_ = lm_score.windows([x])
-        z = np.where(flat < 0, 0, model.inputs[flat])
+        z = scorer.inputs[lm_score.windows([x])[0]]
         for j in range(len(x) + 1):
             c = model.classes[x[j]] if j < len(x) else 0
             full = lambda v: np.full((1, lm_score.STEP), v)
-            slow += scorer.log_probabilities(z[place[j // lm_score.STEP]][None], full(c), full(model.inputs[x[j]] if j < len(x) else 0))[0, j % lm_score.STEP] / np.log(10)
+            slow += scorer.log_probabilities(z[j // lm_score.STEP][None], full(c), full(model.inputs[x[j]] if j < len(x) else 0))[0, j % lm_score.STEP] / np.log(10)
             slow += model.inside[x[j]] if j < len(x) and c not in model.members() else 0
         assert slow == pytest.approx(s, abs=1e-3)
     ordered, shuffled = text(100), np.random.default_rng(3).permutation(text(100))
