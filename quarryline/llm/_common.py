@@ -103,6 +103,18 @@ class Remembered(dict):
         self[word] = self.old[word]
 
 
+_CACHE: dict = {}
+
+
+def only_cache(key, make):
+    """A worker's cache under key, made if it is not there; another key's cache is dropped first, so that a
+    worker that serves several operators holds one at a time."""
+    if key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[key] = make()
+    return _CACHE[key]
+
+
 def with_fields(df: DataFrame, *fields: str) -> StructType:
     """df's schema and the fields, each given as "name type"."""
     out = StructType(list(df.schema.fields))

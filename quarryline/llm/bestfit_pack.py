@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Remembered, clipped_batches, row_key, stage, table, with_fields
+from ._common import Remembered, clipped_batches, only_cache, row_key, stage, table, with_fields
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 600_000
-_TOKENIZERS: dict[str, "WordIds"] = {}
+REMEMBERED = 400_000
 
 
 def byte_characters() -> dict[int, int]:
@@ -112,9 +111,8 @@ class WordIds(Remembered):
 
 
 def word_ids(path: str) -> WordIds:
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordIds(path)
-    return _TOKENIZERS[path]
+    """The process's WordIds of a tokenizer file."""
+    return only_cache(("ids", path), lambda: WordIds(path))
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:

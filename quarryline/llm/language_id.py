@@ -12,6 +12,7 @@ remember per word.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Remembered, clipped_batches, fold, table, with_fields
+from ._common import Remembered, clipped_batches, fold, only_cache, table, with_fields
 
 BITS, DIM, ORDERS = 13, 16, (1, 2, 3, 4)
 BUCKETS = 1 << BITS
@@ -215,7 +216,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     schema = with_fields(docs, "lang_pred string", "lang_score double", "lang_rejected boolean")
 
     def run(batches):
-        words = WordScores(model)
+        # the same model has the same cache in all of a worker's tasks
+        words = only_cache(("scores", zlib.crc32(model.scores.tobytes()), *model.langs), lambda: WordScores(model))
         for whole in batches:
             for batch in clipped_batches(whole, 4 << 20):
                 texts = batch.column("text").to_pylist()
