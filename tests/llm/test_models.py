@@ -270,7 +270,7 @@ def trained():
     for row in sample:
         row[: lm_score.CONTEXT + 1] = -1
         row[lm_score.CONTEXT + 1 :] = text(lm_score.STEP)
-    return lm_score.train(counts, sample), text
+    return lm_score.train(counts, sample, epochs=16), text
 
 
 def test_lm_is_a_distribution(trained):
