@@ -98,8 +98,9 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
 
 
 def sinc_bank(up: int, down: int, half: int = 4) -> np.ndarray:
-    """(up, 2 * half) taps of a Hann-windowed sinc, each phase summing to 1."""
-    cut = min(1.0, up / down)
+    """(up, 2 * half) taps of a Hann-windowed sinc, each phase summing to 1; a lower rate takes as many
+    times more taps."""
+    cut, half = min(1.0, up / down), half * max(1, -(-down // up))
     t = np.arange(2 * half) - (half - 1) - (np.arange(up) * down % up / up)[:, None]
     taps = np.sinc(cut * t) * (0.5 + 0.5 * np.cos(np.pi * np.clip(t / half, -1, 1)))
     return (taps / taps.sum(1, keepdims=True)).astype(np.float32)
