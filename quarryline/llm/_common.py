@@ -66,6 +66,15 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session sends Python workers 1000 rows at a time unless its user has set a number: the
+    10000 of Spark's default can be gigabytes of long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key, "10000") == "10000":
+        df.sparkSession.conf.set(key, "1000")
+    return df
+
+
 def clipped_batches(batch, most_bytes: int = 16 << 20):
     """Slices of an Arrow batch whose buffers hold about most_bytes at most (one row at least)."""
     rows = batch.num_rows

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Remembered, clipped_batches, only_cache, row_key, stage, table, with_fields
+from ._common import Remembered, clipped_batches, only_cache, row_key, small_batches, stage, table, with_fields
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 350_000
 
 
 def byte_characters() -> dict[int, int]:
@@ -35,9 +35,13 @@ def byte_characters() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(rest)}
 
 
-def plain_letters(word: str) -> bool:
-    """Whether a word has letters only, in lower case and composed, so that nothing normalizes it."""
-    return word.isalpha() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+def plain_letters(word: str) -> str:
+    """A word in lower case, if it has letters only, also then, and is composed; else nothing. A final
+    sigma depends on its place, so words with a capital one are left out."""
+    if not word.isalpha() or "Σ" in word or not unicodedata.is_normalized("NFC", word):
+        return ""
+    low = word.lower()
+    return low if low.isalpha() else ""
 
 
 @cache
@@ -50,11 +54,13 @@ class WordIds(Remembered):
 
     The tokenizer drops white space and its pieces never reach over it, so a text's ids are those of
     its words, one after another. New words are encoded together, parted by a mark that is a piece of
-    its own. Where the tokenizer lower-cases and parts a final comma or full stop from letters, words
-    are remembered without case and without these.
+    its own. Where the tokenizer lower-cases and parts final punctuation from letters, words are
+    remembered without case and without it.
     """
 
     MARK = "\x01"
+    #: What ends words: ASCII punctuation but for the apostrophe, which begins pieces of its own.
+    TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -67,39 +73,57 @@ class WordIds(Remembered):
         self.lowers = self.encode("QUITE So") == self.encode("quite so")
         # a word of letters is one piece, which goes to the model as it is, its bytes written as
         # characters, where that gives the same ids
-        model, written = tokenizer.model, byte_characters()
-        self.direct = lambda word: [t.id for t in model.tokenize(word.translate(written))]
+        model, self.written = tokenizer.model, byte_characters()
+        self.direct = lambda word: [t.id for t in model.tokenize(word)]
         tried = ("a", "word", "quite", "thorreou", "zqxj", "antidisestablishment", "été", "straße", "ñandú", "слово", "日本")
-        self.letters = self.lowers and all(self.direct(w.encode().decode("latin-1")) == self.encode(w) for w in tried)
-        self.ends = [e for e in (b".", b",") if self.encode("word" + e.decode()) == self.encode("word") + self.encode(e.decode())]
+        self.letters = self.lowers and all(self.direct(w.encode().decode("latin-1").translate(self.written)) == self.encode(w) for w in tried)
+        self.parts = all(self.encode("wordé" + e) == self.encode("wordé") + self.encode(e) for e in (*self.TAIL.decode(), "...", "$$$", "?!", "***", ").", "--", "_-"))
+        self.tails: dict[bytes, bytes] = {}
 
     def raw(self, text: str) -> bytes:
         return np.array(self.encode(text), "<u4").tobytes()
 
+    def head(self, word: bytes) -> bytes:
+        """A word without its final punctuation, if what is left ends with a letter; else the word."""
+        out = word.rstrip(self.TAIL)
+        if len(out) == len(word) or not out or not self.parts or b"<|" in word:
+            return word
+        # some letters end with a mark in lower case
+        return out if out[-1:].isalpha() or out[-1] > 127 and (last := out.decode("utf-8", "replace")[-1]).isalpha() and last.lower().isalpha() else word
+
     def learn(self, words: set[bytes]) -> None:
         new = self.unknown(words)
-        ended = [w for w in new if w[-1:] in self.ends and w[-2:-1].isalpha()]
-        plain = set(new).difference(ended)
-        plain.update(w[:-1] for w in ended)
-        mark = self.MARK.encode()
+        ended = [(w, h) for w in new if (h := self.head(w)) is not w]
+        plain = set(new).difference(w for w, _ in ended)
+        plain.update(h for _, h in ended)
+        mark, odd = self.MARK.encode(), []
         for w in plain:
             if w in self:
                 continue
-            if self.letters and (w.isalpha() and w.islower() or plain_letters(w.decode("utf-8", "replace"))):
-                ids = self.direct(w.decode("latin-1"))
-                self[w] = pack_ids(len(ids))(*ids)
+            if self.letters and w.isalpha() and w.islower():  # of bytes: ASCII letters
+                ids = self.direct(w.decode())
+            elif self.letters and (low := plain_letters(w.decode("utf-8", "replace"))):
+                ids = self.direct(low.encode().decode("latin-1").translate(self.written))
             elif self.mark is None or mark in w:
                 self[w] = self.raw(w.decode("utf-8", "replace"))
-        plain = [w for w in plain if w not in self]
-        for at in range(0, len(plain), 8192):
-            part = plain[at : at + 8192]
+                continue
+            else:
+                odd.append(w)
+                continue
+            self[w] = pack_ids(len(ids))(*ids)
+        for at in range(0, len(odd), 8192):
+            part = odd[at : at + 8192]
             ids = np.array(self.encode(f" {self.MARK} ".join([w.decode("utf-8", "replace") for w in part])), "<u4")
             edges = np.flatnonzero(ids == self.mark)
             raw, starts, stops = ids.tobytes(), [0, *(4 * edges + 4).tolist()], [*(4 * edges).tolist(), 4 * len(ids)]
             self.update(zip(part, [raw[a:b] for a, b in zip(starts, stops)]))
-        tail = {e: self.raw(e.decode()) for e in self.ends}
-        for w in ended:
-            self[w] = self[w[:-1]] + tail[w[-1:]]
+        for w, h in ended:
+            tail = w[len(h) :]
+            if tail not in self.tails:
+                if len(self.tails) > 10_000:
+                    self.tails.clear()
+                self.tails[tail] = self.raw(tail.decode())
+            self[w] = self[h] + self.tails[tail]
 
     def texts(self, texts: list[bytes | None]):
         """The ids of each text, as bytes."""
@@ -137,7 +161,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return small_batches(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

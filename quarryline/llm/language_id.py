@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Remembered, clipped_batches, fold, only_cache, table, with_fields
+from ._common import Remembered, clipped_batches, fold, only_cache, small_batches, table, with_fields
 
 BITS, DIM, ORDERS = 13, 16, (1, 2, 3, 4)
 BUCKETS = 1 << BITS
 #: Bound on the labelled rows that training reads, per language (in expectation) and in all.
 PER_LANG, IN_ALL = 800, 6000
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 UNKNOWN = "und"
 
 
@@ -145,13 +145,14 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG, in_all: int = IN_ALL) -> l
                 cols = list(zip(*out)) if out else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.binary(), pa.binary()))], names=["lang", "order", "buckets", "n"])
 
-    rows = picked.mapInArrow(run, "lang string, order long, buckets binary, n binary").limit(2 * in_all).collect()
+    rows = small_batches(picked).mapInArrow(run, "lang string, order long, buckets binary, n binary").limit(2 * in_all).collect()
     rows.sort(key=lambda r: (r["order"], r["lang"], r["buckets"]))
     return [(r["lang"], np.frombuffer(r["buckets"], "<u2"), np.frombuffer(r["n"], "<f4")) for r in rows if r["buckets"]][:in_all]
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, batch: int = 32, rate: float = 4.0, miss: float = 0.001, seed: int = 7) -> Model:
-    """Fits embeddings and softmax on four fifths of the rows and calibrates on the others."""
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, least_steps: int = 800, batch: int = 32, rate: float = 4.0, miss: float = 0.001, seed: int = 7) -> Model:
+    """Fits embeddings and softmax on four fifths of the rows and calibrates on the others. A small sample
+    is gone through more often, for least_steps batches."""
     langs = sorted({lang for lang, _, _ in rows})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
@@ -162,6 +163,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, batc
     out, bias = rng.normal(0, 0.1, (DIM, len(langs))), np.zeros(len(langs))
     means = [(b.astype(np.int64), (n / n.sum()).astype(np.float64)) for _, b, n in rows]
     fit = np.flatnonzero(~held)
+    epochs = max(epochs, -(-least_steps // -(-len(fit) // batch)))
     steps, done = epochs * -(-len(fit) // batch), 0
     for _ in range(epochs):
         order = rng.permutation(fit)
@@ -231,7 +233,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 pred = [model.langs[b] if k else UNKNOWN for b, k in zip(best, known)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(np.minimum(score, 1.0)), pa.array(~known | (score < model.threshold))], names=[*kept, *ADDED])
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, in_all: int = IN_ALL) -> Model:

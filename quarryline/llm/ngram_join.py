@@ -26,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, clipped_batches, row_key, stage, table
+from ._common import NO_ID, clipped_batches, row_key, small_batches, stage, table
 from ._graph import components
 
 WORDS = 5
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: As in line_dedup: a counted table of no more rows is broadcast, a larger one joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Buckets of more members are compared in blocks, of so many sets and tokens.
@@ -101,6 +101,7 @@ def sets(docs: DataFrame, whole: bool) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists], names=["k", "n", "s1", "s2", "tokens"])
 
+    docs = small_batches(docs)
     return docs.select(row_key().alias("k"), F.col("text").cast("string").alias("text")).mapInArrow(run, "k long, n int, s1 long, s2 long, tokens array<long>")
 
 
