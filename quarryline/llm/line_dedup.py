@@ -22,8 +22,9 @@ from ._common import row_key, stage, table
 EDITS = 1
 #: Lines of fewer words stay, whatever repeats; shorter ones than NEAR_WORDS go as exact repeats only.
 MIN_WORDS, NEAR_WORDS = 4, 8
-#: A table of at most so many rows is broadcast once counted; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 500_000
+#: A table of at most so many rows (or list elements) is broadcast once counted, tens of MB; a larger one
+#: is joined by a shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def words_of(line: Column) -> Column:
@@ -59,9 +60,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"n": F.size("words"), "h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit(1), "words")})
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, broadcast if a count of its rows proves that it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """df, broadcast if a count of its rows proves that it is small; rows with lists weigh their lengths."""
+    n = df.count() if weight is None else df.agg(F.sum(weight + 1)).first()[0] or 0
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
 def near(x: Column, y: Column) -> Column:
@@ -129,7 +131,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = stage(removed_lines(docs), "removed-lines")
     gone = gone.select(F.col("k").alias("_k"), F.col("th").alias("_th"), F.col("removed").alias("_removed"))
     out = docs.withColumns({"_row": row_key(), "_text": F.xxhash64("text")})
-    out = out.join(small(gone), (F.col("_row") == F.col("_k")) & (F.col("_text") == F.col("_th")), "left")
+    out = out.join(small(gone, F.size("_removed")), (F.col("_row") == F.col("_k")) & (F.col("_text") == F.col("_th")), "left")
     out = out.withColumn("_lines", F.when(F.col("_removed").isNotNull(), F.split("text", "\n")))
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_removed")), lambda i: F.get("_lines", i))
     text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
