@@ -22,9 +22,9 @@ from ._common import row_key, stage, table
 EDITS = 1
 #: Lines of fewer words stay, whatever repeats; shorter ones than NEAR_WORDS go as exact repeats only.
 MIN_WORDS, NEAR_WORDS = 4, 8
-#: A table of at most so many rows (or list elements) is broadcast once counted, tens of MB; a larger one
-#: is joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: A table of at most so many rows is broadcast once counted, tens of MB; a larger one is joined by a
+#: shuffle. Eight list elements weigh as a row.
+BROADCAST_ROWS = 500_000
 
 
 def words_of(line: Column) -> Column:
@@ -61,8 +61,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, weight: Column | None = None) -> DataFrame:
-    """df, broadcast if a count of its rows proves that it is small; rows with lists weigh their lengths."""
-    n = df.count() if weight is None else df.agg(F.sum(weight + 1)).first()[0] or 0
+    """df, broadcast if a count of its rows proves that it is small; lists weigh by their lengths."""
+    n = df.count() if weight is None else df.agg(F.sum(weight / 8 + 1)).first()[0] or 0
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
