@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -112,6 +114,23 @@ class Remembered(dict):
         self[word] = self.old[word]
 
 
+def tidied(run):
+    """A function over Arrow batches that returns the memory it no longer uses to the system when it ends,
+    as its worker may then be idle beside other tasks for long."""
+
+    def whole(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+    return whole
+
+
 _CACHE: dict = {}
 
 
@@ -120,6 +139,7 @@ def only_cache(key, make):
     worker that serves several operators holds one at a time."""
     if key not in _CACHE:
         _CACHE.clear()
+        gc.collect()
         _CACHE[key] = make()
     return _CACHE[key]
 

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Remembered, clipped_batches, only_cache, row_key, small_batches, stage, table, with_fields
+from ._common import Remembered, clipped_batches, only_cache, row_key, small_batches, stage, table, tidied, with_fields
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 350_000
+REMEMBERED = 300_000
 
 
 def byte_characters() -> dict[int, int]:
@@ -161,7 +161,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return small_batches(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return small_batches(docs).mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -244,7 +244,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             cols = [batch.column(c) for c in schema.names[:-2]]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence[at] + rank - first[at]), pa.array(offset[at])], names=schema.names)
 
-    return ranked(pieces, sum(counts.values())).mapInArrow(run, schema)
+    return ranked(pieces, sum(counts.values())).mapInArrow(tidied(run), schema)
 
 
 def op2_bestfit_pack(spark, sf_dir: str) -> DataFrame:

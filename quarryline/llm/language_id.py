@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Remembered, clipped_batches, fold, only_cache, small_batches, table, with_fields
+from ._common import Remembered, clipped_batches, fold, only_cache, small_batches, table, tidied, with_fields
 
 BITS, DIM, ORDERS = 13, 16, (1, 2, 3, 4)
 BUCKETS = 1 << BITS
@@ -145,7 +145,7 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG, in_all: int = IN_ALL) -> l
                 cols = list(zip(*out)) if out else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.binary(), pa.binary()))], names=["lang", "order", "buckets", "n"])
 
-    rows = small_batches(picked).mapInArrow(run, "lang string, order long, buckets binary, n binary").limit(2 * in_all).collect()
+    rows = small_batches(picked).mapInArrow(tidied(run), "lang string, order long, buckets binary, n binary").limit(2 * in_all).collect()
     rows.sort(key=lambda r: (r["order"], r["lang"], r["buckets"]))
     return [(r["lang"], np.frombuffer(r["buckets"], "<u2"), np.frombuffer(r["n"], "<f4")) for r in rows if r["buckets"]][:in_all]
 
@@ -233,7 +233,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 pred = [model.langs[b] if k else UNKNOWN for b, k in zip(best, known)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(np.minimum(score, 1.0)), pa.array(~known | (score < model.threshold))], names=[*kept, *ADDED])
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(tidied(run), schema)
 
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, in_all: int = IN_ALL) -> Model:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, clipped_batches, row_key, small_batches, stage, table
+from ._common import NO_ID, clipped_batches, row_key, small_batches, stage, table, tidied
 from ._graph import components
 
 WORDS = 5
@@ -102,7 +102,7 @@ def sets(docs: DataFrame, whole: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists], names=["k", "n", "s1", "s2", "tokens"])
 
     docs = small_batches(docs)
-    return docs.select(row_key().alias("k"), F.col("text").cast("string").alias("text")).mapInArrow(run, "k long, n int, s1 long, s2 long, tokens array<long>")
+    return docs.select(row_key().alias("k"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "k long, n int, s1 long, s2 long, tokens array<long>")
 
 
 def met(rows: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
     x = full.select(F.col("id").alias("a"), F.col("tokens").alias("x"))
     y = full.select(F.col("id").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long")
 
 
 def shared_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import clipped_batches, small_batches, table, with_fields
+from ._common import clipped_batches, small_batches, table, tidied, with_fields
 
 RATE = 8000
 #: The format tags of WAV.
@@ -139,7 +139,7 @@ def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
                     media.append(write_wav(CODECS[zlib.crc32(payload) % len(CODECS)], payload))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=[*batch.schema.names, "n_bytes", "media"])
 
-    return small_batches(docs).mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(tidied(run), schema)
 
 
 EXPANDED = "codec string, rate integer, payload binary, samples long, rms double, peak integer, crossings long, pcm_crc32 long, pcm binary, problem string"
@@ -197,7 +197,7 @@ def expand_media(rows: DataFrame, media: str = "media", rate: int = 16000, keep_
                 yield pa.RecordBatch.from_arrays([*kept, *made], names=[*(c for c in batch.schema.names if c != media), *added])
 
     types = [{"string": pa.string(), "integer": pa.int32(), "binary": pa.binary(), "long": pa.int64(), "double": pa.float64()}[x.split()[1]] for x in EXPANDED.split(", ")]
-    return small_batches(rows).mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(tidied(run), schema)
 
 
 def feature() -> Column:
