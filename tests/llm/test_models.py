@@ -327,6 +327,16 @@ def test_lm_beats_the_baseline(spark):
     assert s["s"] > s["b"]
 
 
+def test_lm_learns_from_all_of_a_long_text(spark):
+    rng, words = random.Random(4), "sun tree road blue fish door hand cold stone milk bird fire leaf rain gold ship".split()
+    pairs = [w for _ in range(20_000) for k in [rng.randrange(8)] for w in words[2 * k : 2 * k + 2]]
+    learn = spark.createDataFrame([(1, " ".join(pairs))], "doc_id long, text string")
+    shuffled = rng.sample(pairs[:100], 100)
+    docs = spark.createDataFrame([(1, " ".join(pairs[:100])), (2, " ".join(shuffled))], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_texts(docs, learn, WORD_BPE).collect()}
+    assert got[1] > got[2] + 10
+
+
 # audio
 
 
