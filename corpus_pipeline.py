@@ -7,7 +7,9 @@ themselves. All but the last return the columns of documents.
 language_id     documents that the classifier rejects (no letters, null text, or a calibrated
                 probability below its threshold) go
 line_dedup      lines that repeat or nearly repeat an earlier one go; documents left without words go
-ngram_join      of each group of similar documents the one with the smallest id stays
+ngram_join      of each group of similar documents the one with the smallest id stays (null last; of equal ids the
+                one with the smallest text hash). Rows are told apart by id and text, so dissimilar documents
+                that share an id or have none all stay, and so does each row without words
 mix             documents enter as often as their source's target asks, in curriculum order
 pack            pieces of at most 2048 tokens with their place in packed sequences
 """
@@ -35,15 +37,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     drop_staged(spark)
-    groups = stage(ngram_join.similar_groups(docs), "similar")
-    lost = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(line_dedup.small(lost.withColumnRenamed("doc_id", "lost")), F.col("doc_id").eqNullSafe(F.col("lost")), "left_anti")
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("doc_id").alias("twice"))
+    rows = stage(ngram_join.similar_rows(docs).filter("root is not null").select("k", "th", "root"), "similar")
+    first = rows.groupBy("root").agg(F.min(F.struct("k", "th")).alias("first")).select("first.*")
+    each = rows.groupBy("k", "th").agg(F.count("*").alias("c"))
+    lost = each.join(first, ["k", "th"], "left_anti").select(F.col("k").alias("_k"), F.col("th").alias("_th"))
+    same = (line_dedup.row_key() == F.col("_k")) & (F.xxhash64("text") == F.col("_th"))
+    kept = docs.join(line_dedup.small(lost), same, "left_anti")
+    twice = stage(each.filter("c > 1").join(first, ["k", "th"], "left_semi").select(F.col("k").alias("_k"), F.col("th").alias("_th")), "twice")
     if twice.isEmpty():
         return kept
-    # rows that repeat an id: one of them stays
-    same = F.col("doc_id").eqNullSafe(F.col("twice"))
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    # rows that repeat an id and text: one of them stays
+    row = F.struct(*docs.columns)
+    again = kept.join(twice, same).groupBy("_k", "_th").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return kept.join(twice, same, "left_anti").unionByName(again)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def sets(docs: DataFrame, whole: bool) -> DataFrame:
-    """k, n, s1, s2 (signature) and tokens: whole sets, or the prefixes of the first order."""
+    """k, th (the text's hash), n, s1, s2 (signature) and tokens: whole sets, or the prefixes of the first order."""
 
     def run(batches):
         hashes = WordHashes()
@@ -99,10 +99,10 @@ def sets(docs: DataFrame, whole: bool) -> DataFrame:
                     tokens.append(x if whole else x[: len(x) - needed(len(x)) + max(1, len(x) // 16)])
                 ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists], names=["k", "n", "s1", "s2", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("th"), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists], names=["k", "th", "n", "s1", "s2", "tokens"])
 
     docs = small_batches(docs)
-    return docs.select(row_key().alias("k"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "k long, n int, s1 long, s2 long, tokens array<long>")
+    return docs.select(row_key().alias("k"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "k long, th long, n int, s1 long, s2 long, tokens array<long>")
 
 
 def met(rows: DataFrame) -> DataFrame:
@@ -257,14 +257,9 @@ def survivors(first: DataFrame, classes: DataFrame) -> DataFrame:
     return met(left.select("id", "tokens")).join(sizes, "id").filter(enough).select("id", "n")
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
-
-    A null text or one without words has no shingles, links with nothing and is its own component.
-    Rows with equal sets link whatever their ids; repeated rows stay, each with its component. A null id
-    sorts last, and stays null as a component's id if it has no other. No rows, no result; columns other
-    than doc_id and text are ignored.
-    """
+def similar_rows(docs: DataFrame) -> DataFrame:
+    """One row per document: k, th (its text's hash), n, root (names its component; null without shingles) and
+    component (the least k of it, null without shingles)."""
     first = stage(sets(docs, whole=False).withColumn("id", F.monotonically_increasing_id()), "prefixes")
     classes = first.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.min("k").alias("least"))
     classes = stage(classes, "set-classes")
@@ -273,7 +268,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     ids = keyed.select("k").distinct()
     near = docs.select("doc_id", "text").withColumn("k", row_key())
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    full = sets(near.join(ids, "k", "left_semi"), whole=True).drop("k").dropDuplicates(["n", "s1", "s2"])
+    full = sets(near.join(ids, "k", "left_semi"), whole=True).drop("k", "th").dropDuplicates(["n", "s1", "s2"])
     full = stage(full.join(keyed.select("id", "n", "s1", "s2"), ["n", "s1", "s2"]).select("id", "n", "tokens"), "whole-sets")
     # the rarest quarter: tokens that nobody shares come first and fill it, then the rarest shared ones
     rare = met(full.select("id", "tokens")).join(full.select("id", "n"), "id")
@@ -282,12 +277,23 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     rare = rare.select("id", "n", F.size("met").alias("m"), F.explode(F.slice("met", F.lit(1), F.col("room"))).alias("e"))
     buckets = stage(rare.select(F.col("e.t").alias("t"), "id", "n", "m"), "buckets")
     comps = components(links_between(buckets, full), "groups")
-    out = first.select("k", "n", "s1", "s2")
+    out = first.select("k", "th", "n", "s1", "s2")
     named = classes.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = stage(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(least, "root").select("n", "s1", "s2", "component")
-    out = out.join(named, ["n", "s1", "s2"], "left")
+    named = named.join(least, "root").select("n", "s1", "s2", "root", "component")
+    return out.join(named, ["n", "s1", "s2"], "left").select("k", "th", "n", "root", "component")
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
+
+    A null text or one without words has no shingles, links with nothing and is its own component.
+    Rows with equal sets link whatever their ids; repeated rows stay, each with its component. A null id
+    sorts last, and stays null as a component's id if it has no other. No rows, no result; columns other
+    than doc_id and text are ignored.
+    """
+    out = similar_rows(docs)
     plain = lambda c: F.when(c != NO_ID, c)
     return out.select(plain(F.col("k")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), plain(F.coalesce("component", "k")).alias("component_id"))
 

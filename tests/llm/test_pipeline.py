@@ -67,6 +67,14 @@ def test_repeated_ids_leave_one_document(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.similar_stage(spark, docs, "").collect()) == [1, 3]
 
 
+def test_dissimilar_documents_that_share_an_id_or_have_none_stay(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(20)) for c in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (None, texts[2]), (4, texts[3]), (None, texts[4]), (None, texts[4]), (None, texts[5] + " end"), (7, texts[5]), (None, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.similar_stage(spark, docs, "").collect())
+    assert got == Counter([(None, texts[0]), (None, texts[1]), (5, texts[2]), (4, texts[3]), (None, texts[4]), (7, texts[5]), (None, "")])
+
+
 def test_unlabelled_table_is_rejected_whole(spark):
     docs = spark.createDataFrame([(1, "some text", None, "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
     assert language_id.fit(docs).langs == [] and corpus_pipeline.language_stage(spark, docs, "").count() == 0
