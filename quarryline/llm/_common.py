@@ -8,6 +8,9 @@ import gc
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,28 +38,86 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_STAGED: list[str] = []
+#: The tables that each scratch() this thread is in has staged and will remove, innermost last.
+_RUNS: ContextVar[tuple[list[str], ...]] = ContextVar("runs", default=())
+#: Folders of applications that are marked for removal.
+_FOLDERS: set[str] = set()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes the tables that are staged inside when it ends, also by an error. Each has a list of its own, so
+    what another one staged, before, outside or in another thread, stays. Tables staged with keep=True go
+    with the scratch() around this one, or with the application if there is none."""
+    mine: list[str] = []
+    token = _RUNS.set((*_RUNS.get(), mine))
+    try:
+        yield
+    finally:
+        _RUNS.reset(token)
+        for path in mine:
+            remove(spark, path)
+
+
+def scratched(operator):
+    """An operator whose staged tables go before it returns, but for those it keeps; its first argument is a
+    DataFrame."""
+
+    @wraps(operator)
+    def run(df, *args, **named):
+        with scratch(df.sparkSession):
+            return operator(df, *args, **named)
+
+    return run
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new path in the application's part of the shared folder, which is removed when the application ends."""
+    folder = f"{shared_dir(spark)}/quarryline/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        whole = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        system = whole.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(whole)
+        system.deleteOnExit(whole)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors.
 
-    keep: drop_staged leaves the table alone.
+    keep: the table outlives the scratch() it is staged in. All go when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarryline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    if not keep:
-        _STAGED.append(path)
+    path = staged_path(spark, name)
+    runs = _RUNS.get()
+    if runs[keep:]:
+        runs[-1 - keep].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Removes the tables staged so far, for a caller whose results have been written elsewhere."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    while _STAGED:
-        path = hadoop(_STAGED.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+#: A key with more than a thousandth of a join's rows, and LEAST_HOT at least, is hot; so there are fewer than HOT.
+HOT, LEAST_HOT = 1000, 10_000
+
+
+def split_join(rows: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
+    """rows that have one of keys (on, which is unique, and c: how many of rows have it) with its columns.
+
+    Rows of a hot key would meet in one task of a shuffle; they find their key in a broadcast table of fewer
+    than HOT rows and stay where they are. Both tables are read more than once, so they should be staged.
+    """
+    hot = F.col("c") > max((keys.agg(F.sum("c")).first()[0] or 0) // HOT, LEAST_HOT)
+    if keys.filter(hot).isEmpty():
+        return rows.join(keys, on)
+    many = F.broadcast(keys.filter(hot))
+    few = rows.join(F.broadcast(keys.filter(hot).select(on)), on, "left_anti").join(keys.filter(~hot), on)
+    return few.unionByName(rows.join(many, on).select(few.columns))
 
 
 def row_key(doc_id: str = "doc_id") -> Column:

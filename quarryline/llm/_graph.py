@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stage
+from ._common import scratched, stage
 
 
+@scratched
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
     """node, root (the component's smallest node) for every node of edges (a, b), ids of type long.
 
@@ -32,4 +33,5 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         mark = (seen["n"], seen["s"])
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return stage(out, name, keep=True)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Remembered, clipped_batches, only_cache, row_key, small_batches, stage, table, tidied, with_fields
+from ._common import Remembered, clipped_batches, only_cache, row_key, scratched, small_batches, stage, table, tidied, with_fields
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers, in each of two generations.
@@ -221,6 +221,7 @@ def ranked(pieces: DataFrame, rows: int) -> DataFrame:
     return pieces.withColumn("_k", F.row_number().over(order) - 1).join(sums, ["length", "_b"]).withColumn("rank", F.col("_at") + F.col("_k")).drop("_b", "_k", "_at")
 
 
+@scratched
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """cut_pieces plus sequence_id and offset: sequences hold at most `capacity` tokens without gaps.
 
@@ -244,7 +245,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             cols = [batch.column(c) for c in schema.names[:-2]]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence[at] + rank - first[at]), pa.array(offset[at])], names=schema.names)
 
-    return ranked(pieces, sum(counts.values())).mapInArrow(tidied(run), schema)
+    return stage(ranked(pieces, sum(counts.values())).mapInArrow(tidied(run), schema), "packed", keep=True)
 
 
 def op2_bestfit_pack(spark, sf_dir: str) -> DataFrame:
