@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, clipped_batches, row_key, small_batches, stage, table, tidied
+from ._common import clipped_batches, row_key, scratched, small_batches, split_join, stage, table, tidied
 from ._graph import components
 
 WORDS = 5
@@ -83,7 +83,8 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def sets(docs: DataFrame, whole: bool) -> DataFrame:
-    """k, th (the text's hash), n, s1, s2 (signature) and tokens: whole sets, or the prefixes of the first order."""
+    """d (the id), k, th (the text's hash), n, s1, s2 (signature) and tokens: whole sets, or the prefixes of the
+    first order. A text's sets are made in one task, whatever its length."""
 
     def run(batches):
         hashes = WordHashes()
@@ -99,17 +100,19 @@ def sets(docs: DataFrame, whole: bool) -> DataFrame:
                     tokens.append(x if whole else x[: len(x) - needed(len(x)) + max(1, len(x) // 16)])
                 ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("th"), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists], names=["k", "th", "n", "s1", "s2", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("k"), batch.column("th"), pa.array(n, pa.int32()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists], names=["d", "k", "th", "n", "s1", "s2", "tokens"])
 
     docs = small_batches(docs)
-    return docs.select(row_key().alias("k"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "k long, th long, n int, s1 long, s2 long, tokens array<long>")
+    docs = docs.select(F.col("doc_id").cast("long").alias("d"), row_key().alias("k"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(tidied(run), "d long, k long, th long, n int, s1 long, s2 long, tokens array<long>")
 
 
 def met(rows: DataFrame) -> DataFrame:
-    """rows (id, tokens) with only the tokens that another row has too; rows without any go."""
+    """rows (id, tokens) with only the tokens that another row has too; rows without any go, and tokens that
+    a row repeats. A token that very many rows have stays out of the shuffle."""
     entries = rows.select("id", F.explode("tokens").alias("t"))
-    shared = entries.groupBy("t").agg(F.count("*").alias("df")).filter("df > 1")
-    return entries.join(shared, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("met"))
+    shared = stage(entries.groupBy("t").agg(F.count("*").alias("c")).filter("c > 1"), "shared-tokens")
+    return split_join(entries, shared, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("c").alias("df"), "t"))).alias("met"))
 
 
 def first_quarter(x: np.ndarray) -> np.ndarray:
@@ -247,6 +250,7 @@ def links_between(buckets: DataFrame, full: DataFrame) -> DataFrame:
     return links.unionByName(stage(links_in_blocks(many, full), "block-links"))
 
 
+@scratched
 def survivors(first: DataFrame, classes: DataFrame) -> DataFrame:
     """id, n of the class representatives that share enough prefix tokens with others."""
     enough = F.size("met") >= F.greatest(F.lit(1), F.floor(F.floor((3 * F.col("n") + 3) / 4) / 16))
@@ -254,21 +258,28 @@ def survivors(first: DataFrame, classes: DataFrame) -> DataFrame:
     left = met(first.select("id", "tokens")).join(sizes, "id").filter(enough)
     left = stage(left.select("id", "n", F.transform("met", lambda m: m["t"]).alias("tokens")), "met-all")
     # again among representatives only: copies met each other before
-    return met(left.select("id", "tokens")).join(sizes, "id").filter(enough).select("id", "n")
+    return stage(met(left.select("id", "tokens")).join(sizes, "id").filter(enough).select("id", "n"), "survivors", keep=True)
 
 
+@scratched
+def links_and_components(buckets: DataFrame, full: DataFrame) -> DataFrame:
+    """node and root of all members of buckets that similarity joins."""
+    return stage(components(links_between(buckets, full), "groups"), "grouped", keep=True)
+
+
+@scratched
 def similar_rows(docs: DataFrame) -> DataFrame:
-    """One row per document: k, th (its text's hash), n, root (names its component; null without shingles) and
-    component (the least k of it, null without shingles)."""
+    """One row per document: d (its id), k (that, the largest long for a null one), th (its text's hash), n, root
+    (names its component; null without shingles) and component (the least id of it, null without any)."""
     first = stage(sets(docs, whole=False).withColumn("id", F.monotonically_increasing_id()), "prefixes")
-    classes = first.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.min("k").alias("least"))
+    classes = first.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("id"), F.min("d").alias("least"), F.count("*").alias("c"))
     classes = stage(classes, "set-classes")
-    left = stage(survivors(first, classes), "survivors")
-    keyed = first.select("id", "k", "s1", "s2").join(left, "id")
-    ids = keyed.select("k").distinct()
-    near = docs.select("doc_id", "text").withColumn("k", row_key())
+    left = survivors(first, classes)
+    keyed = first.select("id", "k", "th", "s1", "s2").join(left, "id")
+    ids = keyed.select("k", "th").distinct()
+    near = docs.select("doc_id", "text").withColumns({"k": row_key(), "th": F.xxhash64("text")})
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    full = sets(near.join(ids, "k", "left_semi"), whole=True).drop("k", "th").dropDuplicates(["n", "s1", "s2"])
+    full = sets(near.join(ids, ["k", "th"], "left_semi"), whole=True).drop("d", "k", "th").dropDuplicates(["n", "s1", "s2"])
     full = stage(full.join(keyed.select("id", "n", "s1", "s2"), ["n", "s1", "s2"]).select("id", "n", "tokens"), "whole-sets")
     # the rarest quarter: tokens that nobody shares come first and fill it, then the rarest shared ones
     rare = met(full.select("id", "tokens")).join(full.select("id", "n"), "id")
@@ -276,13 +287,15 @@ def similar_rows(docs: DataFrame) -> DataFrame:
     rare = rare.withColumn("room", room.cast("int")).filter("room > 0")
     rare = rare.select("id", "n", F.size("met").alias("m"), F.explode(F.slice("met", F.lit(1), F.col("room"))).alias("e"))
     buckets = stage(rare.select(F.col("e.t").alias("t"), "id", "n", "m"), "buckets")
-    comps = components(links_between(buckets, full), "groups")
-    out = first.select("k", "th", "n", "s1", "s2")
+    comps = links_and_components(buckets, full)
     named = classes.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = stage(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(least, "root").select("n", "s1", "s2", "root", "component")
-    return out.join(named, ["n", "s1", "s2"], "left").select("k", "th", "n", "root", "component")
+    named = stage(named.join(least, "root").select("n", "s1", "s2", "root", "component", "c"), "components-named")
+    out = split_join(first.filter("n > 0").select("d", "k", "th", "n", "s1", "s2"), named, ["n", "s1", "s2"])
+    bare = first.filter("n = 0").withColumns({"root": F.lit(None).cast("long"), "component": F.lit(None).cast("long")})
+    columns = ["d", "k", "th", "n", "root", "component"]
+    return stage(out.select(columns).unionByName(bare.select(columns)), "similar-rows", keep=True)
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -291,11 +304,11 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     A null text or one without words has no shingles, links with nothing and is its own component.
     Rows with equal sets link whatever their ids; repeated rows stay, each with its component. A null id
     sorts last, and stays null as a component's id if it has no other. No rows, no result; columns other
-    than doc_id and text are ignored.
+    than doc_id and text are ignored. Texts are read whole; each one's set must fit a task.
     """
     out = similar_rows(docs)
-    plain = lambda c: F.when(c != NO_ID, c)
-    return out.select(plain(F.col("k")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), plain(F.coalesce("component", "k")).alias("component_id"))
+    component = F.when(F.col("root").isNull(), F.col("d")).otherwise(F.col("component"))
+    return out.select(F.col("d").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
