@@ -22,5 +22,6 @@ ORACLES = {
     "op3_curriculum_mix": curriculum_mix.ORACLE,
     "op4_ngram_join": ngram_join.ORACLE,
     "op8_chat_format": chat_format.ORACLE,
+    "op9_hilbert_shards": hilbert_shards.oracle(),
     "op10_line_dedup": line_dedup.ORACLE,
 }
