@@ -17,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import row_key, stage, table
+from ._common import row_key, scratched, split_join, stage, table
 
 EDITS = 1
-#: Lines of fewer words stay, whatever repeats; shorter ones than NEAR_WORDS go as exact repeats only.
-MIN_WORDS, NEAR_WORDS = 4, 8
+#: Lines of fewer words stay, whatever repeats: one edit makes half of a line of two words another.
+MIN_WORDS = 4
 #: A table of at most so many rows is broadcast once counted, tens of MB; a larger one is joined by a
 #: shuffle. Eight list elements weigh as a row.
 BROADCAST_ROWS = 500_000
@@ -37,10 +37,10 @@ def half(n: Column) -> Column:
     return F.pow(F.lit(2.0), F.floor(F.log2((n / 2).cast("int").cast("double")))).cast("int")
 
 
-def half_keys(words: Column, n: Column) -> Column:
+def half_keys(words: Column, n: Column, min_words: int) -> Column:
     """Hashes of the first and of the last words, as many as a near line with n, n - 1 or n + 1 words
     hashes too."""
-    sizes = F.array_distinct(F.array(half(n), half(n - 1)))
+    sizes = F.array_distinct(F.array(half(n), half(F.greatest(n - 1, F.lit(min_words)))))
     first = F.transform(sizes, lambda h: F.xxhash64(F.lit(0), h, F.slice(words, F.lit(1), h)))
     last = F.transform(sizes, lambda h: F.xxhash64(F.lit(1), h, F.slice(words, n - h + 1, h)))
     return F.concat(first, last)
@@ -73,20 +73,23 @@ def near(x: Column, y: Column) -> Column:
     return run(x, y) + run(F.reverse(x), F.reverse(y)) >= F.greatest(F.size(x), F.size(y)) - EDITS
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+@scratched
+def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """k, th, removed (positions): a line goes if an equal or near line comes earlier, by document id
-    (null last), text hash and position. What removed the earlier line doesn't matter."""
+    (null last), text hash and position. What removed the earlier line doesn't matter. Joins on a key that
+    very many lines have (a common line, half or variant) leave its rows where they are."""
+    if min_words < 2:
+        raise ValueError("a line of one word has no half")
     place = F.struct("k", "th", "pos")
-    t1 = stage(lines_of(docs).select("k", "th", "pos", "n", "h1", "h2", F.when(F.col("n") >= NEAR_WORDS, half_keys(F.col("words"), F.col("n"))).alias("keys")), "lines")
-    t1 = t1.filter(F.col("n") >= MIN_WORDS)
-    classes = t1.groupBy("h1", "h2").agg(F.min(place).alias("first"), (F.count("*") > 1).alias("again"), F.max(F.col("keys").isNotNull()).alias("long"))
-    classes = stage(classes, "line-classes")
-
-    keys = t1.filter(F.col("keys").isNotNull()).select("h1", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("key")
-    likely = keys.join(shared, "key").select("h1").distinct()
+    t1 = stage(lines_of(docs).select("k", "th", "pos", "n", "h1", "h2", F.when(F.col("n") >= min_words, half_keys(F.col("words"), F.col("n"), min_words)).alias("keys")), "lines")
+    t1 = t1.filter(F.col("n") >= min_words)
+    classes = stage(t1.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c")), "line-classes")
+
+    keys = t1.select("h1", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.count("*").alias("c")).filter("a <> b").select("key", "c")
+    likely = split_join(keys, stage(shared, "shared-halves"), "key").select("h1").distinct()
     # one occurrence, the first, of each line that shares a half with another line
-    firsts = stage(classes.filter("long").join(likely, "h1", "left_semi").select("h1", "h2", "first.*"), "likely-lines")
+    firsts = stage(classes.join(likely, "h1", "left_semi").select("h1", "h2", "first.*"), "likely-lines")
     lines = raw_lines(docs).join(small(firsts), ["k", "th", "pos"]).dropDuplicates(["h1", "h2"])
     lines = stage(lines.select("h1", "h2", place.alias("first"), words_of(F.col("line")).alias("words")), "likely-words")
 
@@ -98,38 +101,41 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     spots = spots.select("h1", "h2", "first", "w", F.explode(F.sequence(F.lit(0), n)).alias("i"))
     spots = spots.select("h1", "h2", "first", "i", F.when(i == 0, F.xxhash64("w")).otherwise(F.xxhash64(without)).alias("v"))
     spots = stage(spots, "variants")
-    twice = spots.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1").select("v")
-    spots = stage(spots.join(twice, "v"), "neighbours")
     who = F.struct("first", "h1", "h2")
-    at_i = spots.groupBy("v", "i").agg(F.min(who).alias("w"))
-    at_v = spots.groupBy("v").agg(F.min(F.when(i == 0, who)).alias("whole"), F.min(F.when(i > 0, who)).alias("cut"))
-    by_i = spots.filter("i > 0").join(at_i, ["v", "i"]).select("h1", "h2", "first", "w")
-    by_v = spots.join(at_v, "v").select("h1", "h2", "first", F.when(i == 0, F.col("cut")).otherwise(F.col("whole")).alias("w"))
+    # of each variant the earliest line that is it, and for each word left out the earliest that lacks it
+    at_v = spots.groupBy("v").agg(F.min(F.when(i == 0, who)).alias("whole"), F.min(F.when(i > 0, who)).alias("cut"), F.count("*").alias("c")).filter("c > 1")
+    at_v = stage(at_v, "variants-shared")
+    spots = stage(split_join(spots, at_v, "v").drop("c"), "neighbours")
+    at_i = stage(spots.filter("i > 0").groupBy("v", "i").agg(F.min(who).alias("w"), F.count("*").alias("c")).filter("c > 1"), "variants-by-place")
+    by_i = split_join(spots.filter("i > 0").select("v", "i", "h1", "h2", "first"), at_i, ["v", "i"]).select("h1", "h2", "first", "w")
+    by_v = spots.select("h1", "h2", "first", F.when(i == 0, F.col("cut")).otherwise(F.col("whole")).alias("w"))
     pairs = by_i.unionByName(by_v).filter(F.col("w.first") < F.col("first")).select("h1", "h2", F.col("w.h1").alias("g1"), F.col("w.h2").alias("g2")).distinct()
+    pairs = stage(pairs, "line-pairs")
     other = lines.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("words").alias("earlier"))
-    pairs = pairs.join(lines.select("h1", "h2", "words"), ["h1", "h2"]).join(other, ["g1", "g2"])
+    other = stage(pairs.groupBy("g1", "g2").agg(F.count("*").alias("c")).join(other, ["g1", "g2"]), "earlier-lines")
+    pairs = split_join(pairs, other, ["g1", "g2"]).drop("c").join(lines.select("h1", "h2", "words"), ["h1", "h2"])
     close = pairs.filter(near(F.col("words"), F.col("earlier"))).select("h1", "h2", F.lit(True).alias("near")).distinct()
 
-    gone = classes.join(close, ["h1", "h2"], "left").filter(F.col("again") | F.col("near")).select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = t1.select("k", "th", "pos", "h1", "h2").join(gone, ["h1", "h2"]).filter(F.col("near") | (place != F.col("first")))
-    return gone.groupBy("k", "th").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
+    gone = classes.join(close, ["h1", "h2"], "left").filter("c > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"), "c")
+    gone = split_join(t1.select("k", "th", "pos", "h1", "h2"), stage(gone, "lines-gone"), ["h1", "h2"]).filter(F.col("near") | (place != F.col("first")))
+    return stage(gone.groupBy("k", "th").agg(F.sort_array(F.collect_set("pos")).alias("removed")), "removed-lines", keep=True)
 
 
 ADDED = ("n_lines", "removed")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs, each text without its lines that repeat or nearly repeat an earlier one, plus n_lines (lines
     before, null text: 0) and removed (positions of the lines that went), in place of own columns
     named so.
 
-    Lines are parted by line feeds. Lines of fewer than MIN_WORDS words stay. A null text stays null; a
+    Lines are parted by line feeds. Lines of fewer than min_words words stay; of all others an exact repeat goes
+    as well as a near one. A null text stays null; a
     text all of whose lines went is empty. Rows that repeat an id and text are one document and get one
     result; rows that repeat only the id are told apart by their texts. Other columns stay.
     """
     docs = docs.drop(*ADDED)
-    gone = stage(removed_lines(docs), "removed-lines")
-    gone = gone.select(F.col("k").alias("_k"), F.col("th").alias("_th"), F.col("removed").alias("_removed"))
+    gone = removed_lines(docs, min_words).select(F.col("k").alias("_k"), F.col("th").alias("_th"), F.col("removed").alias("_removed"))
     out = docs.withColumns({"_row": row_key(), "_text": F.xxhash64("text")})
     out = out.join(small(gone, F.size("_removed")), (F.col("_row") == F.col("_k")) & (F.col("_text") == F.col("_th")), "left")
     out = out.withColumn("_lines", F.when(F.col("_removed").isNotNull(), F.split("text", "\n")))
@@ -153,7 +159,7 @@ WITH l AS (
 ), d AS (
   SELECT array_to_string(w, ' ') AS line, any_value(w) AS w, min((doc_id * 1000000 + pos)) AS first FROM l WHERE len(w) >= 4 GROUP BY 1
 ), n AS (
-  SELECT line, first, w, unnest(range(0, len(w) + 1)) AS i FROM d WHERE len(w) >= 8
+  SELECT line, first, w, unnest(range(0, len(w) + 1)) AS i FROM d
 ), v AS (
   SELECT line, first, i, CASE WHEN i = 0 THEN line ELSE array_to_string(list_concat(w[1:i - 1], w[i + 1:len(w)]), ' ') END AS v FROM n
 ), g AS (
