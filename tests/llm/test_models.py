@@ -30,28 +30,65 @@ def brute_topk(rows, queries, k):
 def test_search(spark, block):
     rng = np.random.default_rng(0)
     vectors = [(k, [int(x) for x in rng.integers(-9, 10, 5)]) for k in range(150)]
-    vectors += [(200 + k, list(vectors[3][1])) for k in range(30)] + [(300, [0] * 5), (301, [1, 2]), (302, [3, 4])]
+    vectors += [(200 + k, list(vectors[3][1])) for k in range(30)] + [(300, [0] * 5), (301, [1, 2]), (302, [3, 4]), (303, []), (304, [])]
     df = spark.createDataFrame(vectors + [(400, None)], "vec_id long, v array<long>")
     queries = df.filter("vec_id % 20 = 0 or vec_id > 298")
-    got = threshold_search.topk(df, queries, 20, block).collect()
+    got = threshold_search.topk(df.withColumn("score", F.lit("x")), queries.union(queries), 20, block).collect()
     want = brute_topk(vectors, [v for v in vectors if v[0] % 20 == 0 or v[0] > 298], 20)
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == want
     assert threshold_search.topk(df.limit(0), queries, 5).count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 12, 1 << 26, 1 << 34])
+def test_search_of_large_numbers(spark, most):
+    rng = np.random.default_rng(1)
+    vectors = [(k, [float(x) for x in rng.integers(-most, most, 8)]) for k in range(400)]
+    if most == 1 << 34:
+        vectors += [(1000, [64e200] + [1.0] * 7), (1001, [-64e200, 64e200] + [0.0] * 6), (1002, [1.0] * 8)]
+    df = spark.createDataFrame(vectors, "vec_id long, v array<double>")
+    asked = [v for v in vectors if v[0] % 20 == 0 or v[0] > 999]
+    whole = [(k, [int(x) for x in v]) for k, v in vectors]
+    want = brute_topk(whole, [w for w in whole if w[0] in dict(asked)], 20)
+    held = [(q, r, i, min(max(s, -(1 << 63)), (1 << 63) - 1)) for q, r, i, s in want]
+    got = threshold_search.topk(df, df.filter("vec_id % 20 = 0 or vec_id > 999"), 20).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == held
+
+
+def test_search_without_ids(spark):
+    rows = [(0, [1.0, 2.0]), (None, [9.0, 9.0]), (None, [1.0, 1.0]), (3, [1.0, 1.0]), (20, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = threshold_search.topk(df, df.filter("vec_id % 20 = 0"), 3).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, None, 27), (0, 3, 3), (0, None, 3), (20, 0, 0), (20, 3, 0), (20, None, 0)]
+
+
 def test_search_stops_early():
     x = np.zeros((2000, 3), np.int64)
     x[:, 0] = np.arange(2000)
     q = np.array([[5, 0, 0]])
-    _, ids, scores, depth = threshold_search.threshold_topk(q, np.array([-1]), x, np.arange(2000), 10)
-    assert sorted(ids) == list(range(1990, 2000)) and max(depth) < 2000
+    _, ids, scores, read = threshold_search.threshold_topk(q, np.array([-1]), x, np.arange(2000), 10)
+    assert sorted(ids) == list(range(1990, 2000)) and max(read) < 40
+    # a floor that no row reaches: nothing is scored; one that some reach: those are there
+    _, ids, _, read = threshold_search.threshold_topk(q, np.array([-1]), x, np.arange(2000), 10, np.array([1e6]))
+    assert not len(ids) and max(read) == 0
+    _, ids, _, _ = threshold_search.threshold_topk(q, np.array([-1]), x, np.arange(2000), 10, np.array([1995.0 * 5]))
+    assert {1995, 1996, 1997, 1998, 1999} <= set(ids)
+
+
+def test_search_scores_few_rows_of_skewed_dimensions():
+    rng = np.random.default_rng(2)
+    x = np.rint(rng.normal(0, 1, (4000, 16)) * 1000 * 0.3 ** np.arange(16)).astype(np.int64)
+    q = np.rint(rng.normal(0, 1, (40, 16)) * 1000 * 0.3 ** np.arange(16)).astype(np.int64)
+    row, col, score, read = threshold_search.threshold_topk(q, np.full(40, -1), x, np.arange(4000), 5)
+    for k in range(40):
+        assert sorted(-score[row == k]) == sorted(-(q[k] @ x.T))[:5]
+    assert read.mean() < 2000
 
 
 def test_quantised(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [([0.5, -0.01],), ([nan, 1.0],), ([inf],), ([None, 1.0],), (None,), ([],)]
-    got = [r["v"] for r in spark.createDataFrame(rows, "e array<float>").select(threshold_search.quantised("e", 64).alias("v")).collect()]
-    assert got == [[32, -1], None, None, None, None, None]
+    rows = [([0.5, -0.01],), ([nan, 1.0],), ([inf],), ([None, 1.0],), (None,), ([],), ([1e200],), ([1.7e308],)]
+    got = [r["v"] for r in spark.createDataFrame(rows, "e array<double>").select(threshold_search.quantised("e", 64).alias("v")).collect()]
+    assert got == [[32, -1], None, None, None, None, [], [64e200], [1.7976931348623157e308]]
 
 
 # packing
@@ -167,6 +204,26 @@ def chained(spark, seed):
     return spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string")
 
 
+def test_groups_of_the_largest_id(spark):
+    most = (1 << 63) - 1
+    rows = [(most, "a b c d e f"), (None, "a b c d e f"), (most, "x y z"), (None, "p q"), (most - 1, None)]
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["component_id"], r["n_shingles"]) for r in got) == Counter([(most, most, 2), (None, most, 2), (most, most, 1), (None, None, 1), (most - 1, most - 1, 0)])
+
+
+def test_groups_with_hot_keys(spark, monkeypatch):
+    from quarryline.llm import _common
+
+    rng = random.Random(4)
+    common = " ".join(f"c{k}" for k in range(30))
+    rows = [(k, f"{common} " + " ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(60))) for k in range(60)]
+    rows += [(100 + k, common + f" end{k % 3}") for k in range(40)] + [(200 + k, None) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(tuple(r) for r in ngram_join.similar_groups(df).collect())
+    monkeypatch.setattr(_common, "LEAST_HOT", 3)
+    assert sorted(tuple(r) for r in ngram_join.similar_groups(df).collect()) == plain == sorted((d, n, c) for d, n, c in brute_groups(rows))
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_groups_of_chains(spark, seed):
     check_groups(chained(spark, seed))

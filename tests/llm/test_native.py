@@ -60,29 +60,66 @@ def test_hilbert_visits_neighbours(bits, dims):
     assert all(sum(abs(a - b) for a, b in zip(points[k], points[k + 1])) == 1 for k in range(len(points) - 1))
 
 
-def check_shards(rows, shards):
-    per = Counter(r["shard"] for r in rows)
-    sizes = [per.get(k, 0) for k in range(shards)]
-    assert max(sizes) - min(sizes) <= 1
-    for k in range(shards):
-        assert sorted(r["slot"] for r in rows if r["shard"] == k) == list(range(per.get(k, 0)))
-    order = sorted(rows, key=lambda r: (r["shard"], r["slot"]))
-    assert [r["cell"] for r in order] == sorted(r["cell"] for r in rows)
+def names_binned(values, bits):
+    """Place of each name among equal ranges of the distinct ones, in code point order; null is 0."""
+    names, most = sorted({v for v in values if v is not None}, key=lambda v: [ord(c) for c in v]), (1 << bits) - 1
+    ranges = [k * most // max(len(names), most) for k in range(len(names))]
+    return {n: 1 + sorted(set(ranges)).index(r) for n, r in zip(names, ranges)} | {None: 0}
+
+
+def brute_shards(docs, shards, bits=4):
+    """(doc_id, size, crc32, cell, shard, slot) by one sort of all rows."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    lang, source = (names_binned([d[k] for d in docs], bits) for k in (2, 3))
+    keyed = []
+    for doc, text, a, b in docs:
+        raw = (text or "").encode()
+        size = min(max(len(raw), 1).bit_length() - 1, (1 << bits) - 1)
+        cell = hilbert_shards.hilbert_index([size, lang[a], source[b]], bits)
+        keyed.append(((cell, md5(text or ""), md5("" if doc is None else str(doc)), doc is None, doc or 0, len(raw)), (doc, len(raw) + 1, zlib.crc32(raw), cell)))
+    keyed.sort(key=lambda x: x[0])
+    out, n = [], len(keyed)
+    for rank, (_, row) in enumerate(keyed):
+        shard = ((rank + 1) * shards - 1) // n
+        out.append((*row, shard, rank - shard * n // shards))
+    return out
+
+
+def dims_of(df):
+    return [hilbert_shards.log_bin(F.octet_length(F.coalesce("text", F.lit(""))), 4), hilbert_shards.name_bin(df, "lang", 4), hilbert_shards.name_bin(df, "source", 4)]
+
+
+COLUMNS = ("doc_id", "size", "text_crc32", "cell", "shard", "slot")
+
 
+@pytest.mark.parametrize("bucket", [3, 50_000])
+def test_shards(spark, odd, none, bucket):
+    # text that a third of the rows have, so that it alone fills many buckets
+    many = [(1000 + k, "the same again" if k % 3 == 0 else f"text {k % 20}", "en", f"s{k % 40}") for k in range(120)]
+    docs = odd.select("doc_id", "text", "lang", "source").union(spark.createDataFrame(many, "doc_id long, text string, lang string, source string"))
+    rows = [tuple(r) for r in docs.collect()]
+    got = hilbert_shards.shard_by_curve(docs, dims_of(docs), 8, bucket_rows=bucket).collect()
+    assert Counter(tuple(r[c] for c in COLUMNS) for r in got) == Counter(brute_shards(rows, 8))
+    per = Counter(r["shard"] for r in got)
+    assert max(per.values()) - min(per.values()) <= 1
+    assert hilbert_shards.shard_by_curve(none, dims_of(none), 8).count() == 0
+    extra = hilbert_shards.shard_by_curve(odd.withColumn("cell", F.lit("x")).withColumn("shard", F.lit(None).cast("int")), dims_of(odd), 8).count()
+    assert extra == odd.count()
 
-def test_shards(odd, none):
-    dims = [hilbert_shards.log_bin(F.octet_length(F.coalesce("text", F.lit(""))), 4), hilbert_shards.name_bin(F.col("lang"), 4), hilbert_shards.name_bin(F.col("source"), 4)]
-    rows = hilbert_shards.shard_by_curve(odd, dims, 8).collect()
-    check_shards(rows, 8)
-    want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in odd.collect())
-    assert want == Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows)
-    assert hilbert_shards.shard_by_curve(none, dims, 8).count() == 0
+
+def test_runs_prune(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = hilbert_shards.shard_by_curve(docs, dims_of(docs), 8, run_rows=16, keep=("lang", "source"))
+    runs = hilbert_shards.run_bounds(out, ["size", "lang", "source"]).collect()
+    assert sum(r["n"] for r in runs) == docs.count() and max(r["n"] for r in runs) == 16
+    hit = lambda c, v: sum(r[f"min_{c}"] <= v <= r[f"max_{c}"] for r in runs) / len(runs)
+    assert hit("lang", "es") < 0.5 and hit("size", 40) < 0.5 and hit("source", "src3") < 0.5
 
 
 def test_shards_of_documents(spark, sf):
-    rows = hilbert_shards.op9_hilbert_shards(spark, sf).collect()
-    check_shards(rows, 8)
-    assert len(rows) == 200
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    got = hilbert_shards.op9_hilbert_shards(spark, sf).collect()
+    assert Counter(tuple(r[c] for c in COLUMNS) for r in got) == Counter(brute_shards(docs, 8))
 
 
 def brute_targets(sizes, weights, repeats):
@@ -171,8 +208,8 @@ def brute_lines(docs):
         for pos, line in enumerate(t.split("\n")):
             w = words(line)
             gone = len(w) >= line_dedup.MIN_WORDS and places[w] < (rank, pos)
-            if not gone and len(w) >= line_dedup.NEAR_WORDS:
-                gone = any(first < places[w] and len(v) >= line_dedup.NEAR_WORDS and abs(len(v) - len(w)) <= 1 and edits(v, w) <= 1 for v, first in places.items())
+            if not gone and len(w) >= line_dedup.MIN_WORDS:
+                gone = any(first < places[w] and abs(len(v) - len(w)) <= 1 and edits(v, w) <= 1 for v, first in places.items())
             if not gone:
                 kept.append(line)
         out[(None if null else d, t)] = "\n".join(kept)
@@ -200,11 +237,20 @@ def test_lines_of_odd_rows(odd, none):
 
 def test_near_lines(spark):
     base = "a b c d e f g h i j"
-    lines = [base, base + " k", "x " + base, base.replace("e", "E"), base.replace("e ", ""), "a b c X Y f g h i j", "p q r s", "p q r s", "p q r t", "p  q\tr s", "tiny", "tiny"]
+    lines = [base, base + " k", "x " + base, base.replace("e", "E"), base.replace("e ", ""), "a b c X Y f g h i j", "p q r s", "p q r s", "p q r t", "p  q\tr s", "p q r s t", "q r s t", "q r t", "p q x s", "tiny", "tiny"]
     check_lines(spark.createDataFrame([(k, line) for k, line in enumerate(lines)] + [(50, "\n".join(lines))], "doc_id long, text string"))
     swap = [" ".join(f"w{j}" if j != k else "z" for j in range(12)) for k in range(12)]
     check_lines(spark.createDataFrame([(k, line) for k, line in enumerate(swap)], "doc_id long, text string"))
 
 
+def test_lines_with_hot_keys(spark, odd, monkeypatch):
+    from quarryline.llm import _common
+
+    monkeypatch.setattr(_common, "LEAST_HOT", 2)
+    lines = [f"one two three four w{k}" for k in range(20)] + ["the common line of all"] * 15 + [f"w{k} two three four five six" for k in range(12)]
+    check_lines(spark.createDataFrame([(k, line) for k, line in enumerate(lines)], "doc_id long, text string"))
+    check_lines(odd)
+
+
 def test_lines_of_documents(spark, sf):
     check_lines(spark.read.parquet(f"{sf}/documents.parquet").withColumn("removed", F.lit(1)))

@@ -78,3 +78,30 @@ def test_dissimilar_documents_that_share_an_id_or_have_none_stay(spark):
 def test_unlabelled_table_is_rejected_whole(spark):
     docs = spark.createDataFrame([(1, "some text", None, "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
     assert language_id.fit(docs).langs == [] and corpus_pipeline.language_stage(spark, docs, "").count() == 0
+
+
+def test_a_stage_leaves_the_tables_of_others(spark, sf):
+    from quarryline.llm import line_dedup
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    open_result = line_dedup.op10_line_dedup(spark, sf)
+    corpus_pipeline.language_stage(spark, docs, sf).count()
+    corpus_pipeline.similar_stage(spark, docs, sf).count()
+    assert open_result.count() == docs.count()
+
+
+def test_operators_remove_what_they_have_staged(spark, sf):
+    import os
+
+    from quarryline.llm import _common, line_dedup, ngram_join
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    folder = os.path.dirname(_common.staged_path(spark, "x"))
+    there = set(os.listdir(folder))
+    line_dedup.dedup_lines(docs)
+    ngram_join.similar_groups(docs)
+    kinds = Counter(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - there)
+    assert kinds == {"removed-lines": 1, "similar-rows": 1}
+    with _common.scratch(spark):
+        line_dedup.dedup_lines(docs)
+    assert Counter(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - there) == kinds
