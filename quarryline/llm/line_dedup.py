@@ -103,9 +103,10 @@ def removed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     spots = stage(spots, "variants")
     who = F.struct("first", "h1", "h2")
     # of each variant the earliest line that is it, and for each word left out the earliest that lacks it
-    at_v = spots.groupBy("v").agg(F.min(F.when(i == 0, who)).alias("whole"), F.min(F.when(i > 0, who)).alias("cut"), F.count("*").alias("c")).filter("c > 1")
-    at_v = stage(at_v, "variants-shared")
-    spots = stage(split_join(spots, at_v, "v").drop("c"), "neighbours")
+    twice = stage(spots.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1"), "variants-shared")
+    spots = stage(split_join(spots, twice, "v").drop("c"), "neighbours")
+    at_v = spots.groupBy("v").agg(F.min(F.when(i == 0, who)).alias("whole"), F.min(F.when(i > 0, who)).alias("cut"), F.count("*").alias("c"))
+    spots = stage(split_join(spots, stage(at_v, "variants-first"), "v").drop("c"), "neighbours-first")
     at_i = stage(spots.filter("i > 0").groupBy("v", "i").agg(F.min(who).alias("w"), F.count("*").alias("c")).filter("c > 1"), "variants-by-place")
     by_i = split_join(spots.filter("i > 0").select("v", "i", "h1", "h2", "first"), at_i, ["v", "i"]).select("h1", "h2", "first", "w")
     by_v = spots.select("h1", "h2", "first", F.when(i == 0, F.col("cut")).otherwise(F.col("whole")).alias("w"))
