@@ -112,11 +112,12 @@ def split_join(rows: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFra
     Rows of a hot key would meet in one task of a shuffle; they find their key in a broadcast table of fewer
     than HOT rows and stay where they are. Both tables are read more than once, so they should be staged.
     """
+    # the same plan at every size: keys grow with the rows, so Spark is not to broadcast them while they are few
     hot = F.col("c") > max((keys.agg(F.sum("c")).first()[0] or 0) // HOT, LEAST_HOT)
     if keys.filter(hot).isEmpty():
-        return rows.join(keys, on)
+        return rows.join(keys.hint("merge"), on)
     many = F.broadcast(keys.filter(hot))
-    few = rows.join(F.broadcast(keys.filter(hot).select(on)), on, "left_anti").join(keys.filter(~hot), on)
+    few = rows.join(F.broadcast(keys.filter(hot).select(on)), on, "left_anti").join(keys.filter(~hot).hint("merge"), on)
     return few.unionByName(rows.join(many, on).select(few.columns))
 
 
