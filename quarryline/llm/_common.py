@@ -103,7 +103,7 @@ def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 
 
 #: A key with more than a thousandth of a join's rows, and LEAST_HOT at least, is hot; so there are fewer than HOT.
-HOT, LEAST_HOT = 1000, 10_000
+HOT, LEAST_HOT = 1000, 1000
 
 
 def split_join(rows: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:

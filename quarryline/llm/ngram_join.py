@@ -228,16 +228,18 @@ def links_between(buckets: DataFrame, full: DataFrame) -> DataFrame:
     fits = lambda n, m: (4 * F.least("n", n) >= 3 * F.greatest("n", n)) & (7 * F.least("m", m) >= 3 * (F.col("n") + F.col(n)))
     # the most central member has the least share of tokens of its own
     central = F.struct(((F.col("n") - F.col("m")) / F.col("n")).alias("own"), F.col("id").alias("i"), F.col("n").alias("k"), F.col("m").alias("l"))
-    pivot = buckets.groupBy("t").agg(F.min(central).alias("p")).select("t", "p.*")
-    pairs = buckets.join(pivot, "t").filter((F.col("id") != F.col("i")) & fits("k", "l"))
+    pivot = stage(buckets.groupBy("t").agg(F.min(central).alias("p"), F.count("*").alias("c")).select("t", "p.*", "c"), "pivots")
+    pairs = split_join(buckets, pivot, "t").filter((F.col("id") != F.col("i")) & fits("k", "l"))
     pairs = pairs.select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b")).distinct()
     links = stage(verified(pairs, full), "star-links")
 
     comps = components(links, "labels")
     now = buckets.join(comps.select(F.col("node").alias("id"), F.col("root").alias("label")), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    now = stage(now, "labelled-buckets")
     per = now.groupBy("t", "label").agg(F.count("*").alias("c"))
     per = per.groupBy("t").agg(F.max(F.struct("c", "label")).alias("main"), F.sum("c").alias("size"), F.count("*").alias("labels")).filter("labels > 1")
-    now = stage(now.join(per.select("t", F.col("main.label").alias("main"), "size"), "t"), "mixed-buckets")
+    per = stage(per.select("t", F.col("main.label").alias("main"), F.col("size").alias("c")), "mixed")
+    now = stage(split_join(now, per, "t").withColumnRenamed("c", "size"), "mixed-buckets")
     few = now.filter(F.col("size") <= SMALL_BUCKET)
     x = few.filter("label <> main").select("t", F.col("id").alias("i"), F.col("n").alias("k"), F.col("m").alias("l"), F.col("label").alias("own"))
     once = (F.col("label") == F.col("main")) | (F.col("i") < F.col("id"))
