@@ -203,8 +203,8 @@ def links_in_blocks(entries: DataFrame, full: DataFrame) -> DataFrame:
     Documents that such buckets hold together make a cluster. Those outside of some bucket's largest
     component (the others) meet each other and the rest; the rest don't meet among themselves.
     """
-    least = entries.groupBy("t").agg(F.min("id").alias("b"))
-    clusters = components(entries.select("t", F.col("id").alias("a")).join(least, "t").select("a", "b"), "clusters")
+    least = stage(entries.groupBy("t").agg(F.min("id").alias("b"), F.count("*").alias("c")), "least-members")
+    clusters = components(split_join(entries.select("t", F.col("id").alias("a")), least, "t").select("a", "b"), "clusters")
     docs = entries.groupBy("id").agg(F.first("label").alias("label"), F.first("n").alias("n"), F.max(F.col("label") != F.col("main")).alias("other"))
     docs = stage(docs.join(clusters.select(F.col("node").alias("id"), "root"), "id"), "clustered")
     blocks = lambda when: F.greatest(F.ceil(F.count(F.when(when, 1)) / BLOCK_SETS), F.ceil(F.coalesce(F.sum(F.when(when, F.col("n").cast("long"))), F.lit(0)) / BLOCK_TOKENS)).cast("int")
