@@ -69,7 +69,7 @@ def name_bin(docs: DataFrame, name: str, bits: int) -> Column:
 
 
 #: Rows that a task ranks at a time, about.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4096
 
 
 @scratched
