@@ -1,7 +1,8 @@
 """Exact top-k inner product search by Fagin's threshold algorithm.
 
 Candidates are dealt to blocks by a hash of their id, and each block keeps one sorted list per
-dimension. A query reads its lists from the end that its sign favours, in rounds of doubling depth. A row
+dimension. A query reads its lists from the end that its sign favours, in rounds of doubling depth, from the
+first on that could be its last. A row
 is scored when a list first shows it. After a round no unseen row can score more than the query's
 inner product with the values at that depth; once this bound is below the k-th best score, the query
 stops. A block's answers are exact, so the k best of all blocks' answers are exact too.
@@ -64,8 +65,8 @@ def best(scores: np.ndarray, seen: np.ndarray, k: int) -> np.ndarray:
     return above | (level & (np.cumsum(level, 1) <= k - above.sum(1, keepdims=True)))
 
 
-def threshold_topk(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None):
-    """For each query (row of q with id own) the k best rows of x by inner product, ties to smaller id,
+def threshold_topk(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarray, k_best: int, floor: np.ndarray | None = None):
+    """For each query (row of q with id own) the k_best best rows of x by inner product, ties to smaller id,
     rows of the query's own id left out. Rows that score less than the query's floor need not be there.
     ids is sorted. Gives query numbers, row numbers, scores, and by query how many rows were scored."""
     kind = exact_dtype(q, x)
@@ -80,41 +81,44 @@ def threshold_topk(q: np.ndarray, own: np.ndarray, x: np.ndarray, ids: np.ndarra
     mine = own[:, None] == ids[None, :]
     seen, scores = np.zeros((len(q), n), bool), np.zeros((len(q), n), kind)
     lowest = np.full(len(q), -np.inf) if floor is None else floor
-    active, depth = np.arange(len(q)), 0
-    while len(active):
-        # what a row not shown by now can score at most: at depth 0 the lists' first values
-        at = max(depth, 1)
-        bound = plus[active] @ down[at - 1] + minus[active] @ down[n - at]
-        now = np.where(seen[active] & ~mine[active], scores[active], 0) if depth else None
-        known = lowest[active].copy() if kind is not object else lowest[active].astype(object)
-        if depth:
-            counts = (seen[active] & ~mine[active]).sum(1)
-            full = counts >= k
-            if full.any() and n > k:
-                none = now.min() - 1
-                filled = np.where(seen[active][full] & ~mine[active][full], now[full], none)
-                known[full] = np.maximum(known[full], np.partition(filled, n - k, 1)[:, n - k])
-        active = active[np.asarray(bound >= known, bool)]
-        if depth == n or not len(active):
-            break
-        depth = min(n, depth * 2 or FIRST_DEPTH)
-        if 2 * seen[active].sum() > seen[active].size:
-            depth = n  # most rows have been shown: the others are read at once
+    # rounds double the depth, up to where the lists read are four times the rows; then all rows are
+    depths = [d for d in (FIRST_DEPTH << k for k in range(40)) if d * x.shape[1] < 4 * n and d < n] + [n]
+    # what a row not shown by a depth can score at most; the first one bounds all rows
+    bounds = [plus @ down[d - 1] + minus @ down[n - d] for d in (1, *depths[:-1])]
+    # no score is above this (Cauchy and Schwarz), so no round whose bound isn't below it can be a query's last
+    norm = lambda a: np.sqrt((a.astype(np.float64) ** 2).sum(1))
+    with np.errstate(over="ignore"):
+        limit = norm(q) * norm(x).max() * (1 + 1e-9)
+    useful = np.array([[bool(u) for u in (b < limit)] for b in bounds[1:]] + [[True] * len(q)])
+    start = useful.argmax(0)
+    active = np.flatnonzero(np.asarray(bounds[0] >= lowest, bool))
+    for k, depth in enumerate(depths):
+        now = active[start[active] <= k]
+        if not len(now):
+            continue
         if depth == n:
-            fresh = ~seen[active]  # dimensions of weight 0 have no list to read, yet their rows count
+            fresh = ~seen[now]  # dimensions of weight 0 have no list to read, yet their rows count
         else:
             shown = np.concatenate([place < depth, place >= n - depth], 1).astype(np.float32)
-            fresh = (signs[active] @ shown.T > 0) & ~seen[active]
-        part = scores[active]
+            fresh = (signs[now] @ shown.T > 0) & ~seen[now]
+        part = scores[now]
         if kind is not object and 20 * fresh.sum() < fresh.size:
             i, j = np.nonzero(fresh)
-            part[i, j] = (q[active[i]] * x[j]).sum(1)
+            part[i, j] = (q[now[i]] * x[j]).sum(1)
         else:
-            part = np.where(fresh, q[active] @ x.T, part)
-        scores[active] = part
-        seen[active] |= fresh
+            part = np.where(fresh, q[now] @ x.T, part)
+        scores[now] = part
+        seen[now] |= fresh
+        if depth < n and n > k_best:
+            known = lowest[now].astype(object if kind is object else np.float64)
+            good = seen[now] & ~mine[now]
+            full = good.sum(1) >= k_best
+            if full.any():
+                filled = np.where(good[full], part[full], part.min() - 1)
+                known[full] = np.maximum(known[full], np.partition(filled, n - k_best, 1)[:, n - k_best])
+            active = np.setdiff1d(active, now[~np.asarray(bounds[k + 1][now] >= known, bool)])
     read = seen.sum(1)
-    rows, cols = np.nonzero(best(scores, seen & ~mine, k))
+    rows, cols = np.nonzero(best(scores, seen & ~mine, k_best))
     return rows, cols, scores[rows, cols], read
 
 
