@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(df: DataFrame) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one where a local session has none."""
+    """A new folder under spark.checkpoint.dir, removed when the application ends; under a temporary one where a
+    local session has none."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
@@ -18,7 +19,12 @@ def shared_folder(df: DataFrame) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="quarryline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/ranked-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/quarryline-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop)
+    system.deleteOnExit(hadoop)
+    return path
 
 
 def global_row_number(df: DataFrame, *order: Column, name: str = "rn") -> DataFrame:
@@ -28,7 +34,7 @@ def global_row_number(df: DataFrame, *order: Column, name: str = "rn") -> DataFr
     change when an executor is lost. A row's number is its place in its range plus the rows of earlier
     ranges, of which there are as many as shuffle partitions.
     """
-    path = shared_folder(df)
+    path = f"{shared_folder(df)}/ranked"
     df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).write.parquet(path)
     rows = df.sparkSession.read.parquet(path)
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

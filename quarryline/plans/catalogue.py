@@ -6,7 +6,6 @@ store or the change log.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -246,9 +245,9 @@ def store(spark: SparkSession, sf_dir: str):
     """An engine with a copy of some orders as table t."""
     from ..engine import Engine
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    root = f"{base.rstrip('/')}/store-{next(tempfile._get_candidate_names())}" if base else tempfile.mkdtemp(prefix="quarryline-")
-    engine = Engine(spark, root)
+    from ..operators.ranking import shared_folder
+
+    engine = Engine(spark, shared_folder(table(spark, sf_dir, "orders")))
     engine.register("orders", table(spark, sf_dir, "orders"))
     engine.sql("CREATE TABLE t (k BIGINT PRIMARY KEY, c BIGINT, s VARCHAR(1) DEFAULT 'N', p DOUBLE CHECK (p >= 0))")
     engine.sql("INSERT INTO t SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
