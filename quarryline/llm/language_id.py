@@ -145,9 +145,10 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG, in_all: int = IN_ALL) -> l
                 cols = list(zip(*out)) if out else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.binary(), pa.binary()))], names=["lang", "order", "buckets", "n"])
 
-    rows = small_batches(picked).mapInArrow(tidied(run), "lang string, order long, buckets binary, n binary").limit(2 * in_all).collect()
-    rows.sort(key=lambda r: (r["order"], r["lang"], r["buckets"]))
-    return [(r["lang"], np.frombuffer(r["buckets"], "<u2"), np.frombuffer(r["n"], "<f4")) for r in rows if r["buckets"]][:in_all]
+    rows = small_batches(picked).mapInArrow(tidied(run), "lang string, order long, buckets binary, n binary").filter("octet_length(buckets) > 0")
+    # the first in this order, so that rows which repeat an id and text leave the sample the same in each run
+    rows = rows.orderBy("order", "lang", "buckets", "n").limit(in_all).collect()
+    return [(r["lang"], np.frombuffer(r["buckets"], "<u2"), np.frombuffer(r["n"], "<f4")) for r in rows]
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, least_steps: int = 800, batch: int = 32, rate: float = 4.0, miss: float = 0.001, seed: int = 7) -> Model:
