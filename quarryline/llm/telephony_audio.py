@@ -169,7 +169,7 @@ def expand_media(rows: DataFrame, media: str = "media", rate: int = 16000, keep_
     def run(batches):
         banks: dict = {}
         for whole in batches:
-            for batch in clipped_batches(whole):
+            for batch in clipped_batches(whole, 2 << 20):  # the PCM is several times as large
                 out, blocks = [[None] * len(added) for _ in range(batch.num_rows)], {}
                 for i, x in enumerate(batch.column(media).to_pylist()):
                     if x is None:
@@ -207,7 +207,8 @@ def feature() -> Column:
 def op7_telephony_audio(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     stored = store_texts(docs).drop("text").withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2(F.col("media"), 256)})
-    out = expand_media(stored, keep_pcm=False)
+    # the digest is of the PCM column, not of what the worker had
+    out = expand_media(stored).withColumn("pcm_crc32", F.crc32("pcm"))
     tail = F.substring(F.col("payload"), -16, 16)
     return out.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2(F.col("payload"), 256).alias("payload_sha256"),
