@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, stage, table
+from ..operators.ranking import global_row_number
+from ._common import WORD, scratched, stage, table
 
 #: Knots (t, weight) by a source's place in the cycle; each integrates to 1 over [0, 1].
 RAMPS = [[(0.0, 0.5), (1.0, 1.5)], [(0.0, 1.0), (1.0, 1.0)], [(0.0, 1.5), (0.5, 1.5), (0.75, 0.5), (1.0, 0.0)]]
@@ -51,27 +52,29 @@ def invert(share: Column, knots: list[tuple[float, float]]) -> Column:
     return out
 
 
+@scratched
 def source_targets(sizes: DataFrame, weights: list[float], repeats: int) -> DataFrame:
     """source, source_size, place (in code point order, null last), weight, target.
 
     Targets share the total size by weight; none is above repeats * source_size, and what a cap frees
-    is shared by weight among the rest: min(cap, level * weight) with the level that fills the total.
-    The table has one row per source, so one task may order it.
+    is shared by weight among the rest: min(cap, level * weight) with the level that fills the total. The
+    level rises from the total's even share until no more sources are capped; the driver sees two sums a step,
+    and sources, however many, are ranked by ranges.
     """
     per = sizes.groupBy("source").agg(F.sum("source_size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("place", place).withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("place") % len(weights) + 1).cast("int")))
-    per = per.withColumn("cap", F.col("source_size") * float(repeats)).withColumn("ratio", F.col("cap") / F.col("weight"))
-    order = Window.orderBy("ratio", "place")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(Window.partitionBy(F.lit(0))) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    per = per.withColumn("level", level)
-    per = per.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "place", "level"))).over(Window.partitionBy(F.lit(0)))["level"])
-    target = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("cap"), F.coalesce("level", F.lit(0.0)) * F.col("weight")))
-    return per.select("source", "source_size", "place", "weight", target.alias("target"))
-
-
-def mix(docs: DataFrame, weights: list[float], repeats: int = 3, schedules: list[list[tuple[float, float]]] = RAMPS, whole: bool = False, buckets: int = 256, name: str = "mix") -> DataFrame:
+    per = global_row_number(per, F.col("source").asc_nulls_last(), name="place").withColumn("place", F.col("place") - 1)
+    per = per.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("place") % len(weights) + 1).cast("int")))
+    per = stage(per.withColumn("cap", F.col("source_size") * float(repeats)).withColumn("ratio", F.col("cap") / F.col("weight")), "source-caps")
+    total, level, before = per.agg(F.sum("source_size").alias("n")).first()["n"] or 0, 0.0, -1.0
+    while level > before:
+        open_ = F.col("ratio") >= level
+        r = per.agg(F.sum(F.when(~open_, F.col("cap"))).alias("cap"), F.sum(F.when(open_, F.col("weight"))).alias("weight")).first()
+        before, level = level, (total - (r["cap"] or 0.0)) / r["weight"] if r["weight"] else level
+    target = F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("cap"), F.lit(float(level)) * F.col("weight")))
+    return stage(per.select("source", "source_size", "place", "weight", target.alias("target")), "sources", keep=True)
+
+
+def mix(docs: DataFrame, weights: list[float], repeats: int = 3, schedules: list[list[tuple[float, float]]] = RAMPS, whole: bool = False, buckets: int | None = None, name: str = "mix") -> DataFrame:
     """docs with size, source_size, target, taken and positions (array of training times, empty if not taken).
 
     size counts words (null text: 0). Weights and schedules go around the sources in code point order,
@@ -80,8 +83,10 @@ def mix(docs: DataFrame, weights: list[float], repeats: int = 3, schedules: list
     is taken in part, so a source's words are its target rounded down. With whole=True documents enter
     whole: the one at the edge if at least half of it is due. Ties (equal ids) follow size and
     text hash; repeated rows count each. No rows, no result. An own column named as one of the new ones
-    is replaced.
+    is replaced. Very long texts are counted whole. buckets: parts of a source; one for every 20,000
+    documents, and 256 at least, if not given.
     """
+    buckets = buckets or max(256, -(-docs.count() // 20_000))
     new = ("size", "source_size", "target", "taken", "positions")
     docs = docs.drop(*(c for c in new if c not in ("doc_id", "text", "source")))
     md5 = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -89,7 +94,7 @@ def mix(docs: DataFrame, weights: list[float], repeats: int = 3, schedules: list
     rows = docs.withColumns({"size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"), "_md5": md5, "_bucket": bucket, "_text": F.xxhash64("text")})
     narrow = rows.select("doc_id", "source", "size", "_bucket")
     sums = stage(narrow.groupBy("source", "_bucket").agg(F.sum("size").alias("source_size")), f"{name}-sums")
-    per = stage(source_targets(sums, weights, repeats), f"{name}-sources")
+    per = source_targets(sums, weights, repeats)
     inside = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_at", F.coalesce(F.sum("source_size").over(inside), F.lit(0))).drop("source_size")
     per = sums.join(per, sums["source"].eqNullSafe(per["source"])).select(sums["source"], "_bucket", "_at", "source_size", "place", "target")
