@@ -273,6 +273,45 @@ def test_language_id(spark, odd, none):
     assert {r["lang_pred"] for r in language_id.identify(odd, blank).collect()} == {"und"}
 
 
+def test_predictions_by_brute_force(spark, odd):
+    """One text at a time from the model's numbers: its subwords by their definition, their mean, a softmax."""
+    rows = odd.select("doc_id", "text").collect()
+    model = language_id.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    mask = (1 << 64) - 1
+
+    def slow(text):
+        sums, n = [0.0] * len(model.langs), 0
+        for word in (text or "").lower().split():
+            for run in "".join(c if c.isalpha() else " " for c in word).split():
+                marked = f"<{run}>"
+                for order in language_id.ORDERS:
+                    for at in range(len(marked) - order + 1):
+                        part = marked[at : at + order]
+                        if part in "<>":
+                            continue
+                        h = 0
+                        for c in part:
+                            h = (h * 0x100000001B3 + ord(c)) & mask
+                        bucket = ((h + order) * 0x9E3779B97F4A7C15 & mask) >> (64 - language_id.BITS)
+                        sums, n = [a + b for a, b in zip(sums, model.scores[bucket])], n + 1
+        if not n:
+            return "und", 0.0
+        z = [np.exp((a / n + b) / model.temperature) for a, b in zip(sums, model.bias)]
+        return model.langs[int(np.argmax(z))], max(z) / sum(z)
+
+    got = {(r["doc_id"], r["text"]): (r["lang_pred"], r["lang_score"], r["lang_rejected"]) for r in language_id.identify(odd.select("doc_id", "text"), model).collect()}
+    for doc, text in rows:
+        lang, score = slow(text)
+        assert got[doc, text][0] == lang and got[doc, text][1] == pytest.approx(score, abs=1e-9) and got[doc, text][2] == (lang == "und" or score < model.threshold)
+
+
+def test_sample_is_the_same_each_time(spark):
+    rows = [(1, "the same text again and again", "en")] * 40 + [(k, f"other words number {'abc'[k % 3]}", "fr") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a, b = (language_id.sample(docs.repartition(n), 800, 30) for n in (1, 7))
+    assert len(a) == 30 and [(x, y.tolist()) for x, y, _ in a] == [(x, y.tolist()) for x, y, _ in b]
+
+
 def test_calibration_lowers_confidence_of_a_poor_model():
     rng = np.random.default_rng(2)
     rows = [(rng.choice(["a", "b"]), np.array([1, 2, 3], "u2"), np.array([1, 1, 1], "f4")) for _ in range(200)]
@@ -374,6 +413,40 @@ def test_lm_learns_and_scores_once(trained):
     assert scorer.score([ordered])[0] > scorer.score([shuffled])[0] + 10
 
 
+def test_lm_by_brute_force(trained):
+    """The formula of the module's docstring, a token at a time, from the model's parameters alone."""
+    m, text = trained
+    context, step = lm_score.CONTEXT, lm_score.STEP
+
+    def softmax(z):
+        z = np.exp(z - z.max())
+        return z / z.sum()
+
+    def slow(ids):
+        out, ends = 0.0, [*ids, None]
+        for j, token in enumerate(ends):
+            # a window begins CONTEXT inputs before its first target; inputs before the text are number 0
+            first = j // step * step - context
+            seen = [m.inputs[ids[k - 1]] if 0 < k <= len(ids) else 0 for k in range(first, j + 1)]
+            x = np.stack([m.emb[z] + m.pos[p] for p, z in enumerate(seen)]).astype(np.float64)
+            a = softmax((x[-1] @ m.wq) @ (x @ m.wk).T / np.sqrt(x.shape[1]))
+            g = np.maximum((x[-1] + a @ (x @ m.wv)) @ m.w1 + m.b1, 0)
+            c = 0 if token is None else m.classes[token]
+            out += np.log10(softmax(g @ m.out + m.bias)[c])
+            if token is None:
+                continue
+            if lm_score.SINGLES < c < lm_score.SINGLES + 1 + lm_score.CLUSTERS:
+                own = [k for k in range(len(m.classes)) if m.classes[k] == c and m.inputs[k] > 1]
+                z = np.array([g @ m.inner[m.inputs[k]] + m.inside[k] * np.log(10) for k in own])
+                out += np.log10(softmax(z)[own.index(token)])
+            else:
+                out += m.inside[token]
+        return out
+
+    texts = [text(n) for n in (0, 1, 31, 32, 70)]
+    assert lm_score.Scorer(m).score(texts) == pytest.approx([slow(list(x)) for x in texts], abs=1e-2)
+
+
 def test_lm_beats_the_baseline(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     from quarryline.llm._common import fold
