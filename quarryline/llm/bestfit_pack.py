@@ -150,7 +150,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
         ids_of = word_ids(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
-            for batch in clipped_batches(whole, 4 << 20):
+            for batch in clipped_batches(whole, 1 << 20):
                 rows: list[tuple] = []
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), ids_of.texts(batch.column("text").cast(pa.binary()).to_pylist())):
                     ids += end

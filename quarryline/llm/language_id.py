@@ -222,7 +222,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         # the same model has the same cache in all of a worker's tasks
         words = only_cache(("scores", zlib.crc32(model.scores.tobytes()), *model.langs), lambda: WordScores(model))
         for whole in batches:
-            for batch in clipped_batches(whole, 4 << 20):
+            for batch in clipped_batches(whole, 1 << 20):
                 texts = batch.column("text").to_pylist()
                 sums = words.of([x or "" for x in texts])
                 n = sums[:, -1]

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import clipped_batches, row_key, scratched, small_batches, split_join, stage, table, tidied
+from ._common import clipped_batches, only_cache, row_key, scratched, small_batches, split_join, stage, table, tidied
 from ._graph import components
 
 WORDS = 5
@@ -87,9 +87,9 @@ def sets(docs: DataFrame, whole: bool) -> DataFrame:
     first order. A text's sets are made in one task, whatever its length."""
 
     def run(batches):
-        hashes = WordHashes()
+        hashes = only_cache("hashes", WordHashes)
         for big in batches:
-            for batch in clipped_batches(big):
+            for batch in clipped_batches(big, 4 << 20):
                 n, s1, s2, tokens = [], [], [], []
                 for text in batch.column("text").cast(pa.binary()).to_pylist():
                     x = shingles(text, hashes)
