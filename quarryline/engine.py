@@ -8,7 +8,9 @@ is. The driver holds the catalog only, never rows.
 from __future__ import annotations
 
 import logging
+import re
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,8 @@ class Engine:
         self.cursors: dict[str, object] = {}
         self.changes = self.total_changes = self.last_rowid = 0
         self.firing = 0
+        for k, f in self.state["functions"].items():
+            self.define(k, f)
 
     # entry points
 
@@ -59,6 +63,7 @@ class Engine:
         parsed = Statements(text, self.dialect, self.counters())
         statement = parsed.statement()
         statement["reads"] = parsed.tables
+        self.allow_calls(text)
         run = getattr(self, f"do_{statement['kind']}")
         if statement["kind"] in WRITES and self.store.saved is None:
             self.store.begin()
@@ -171,6 +176,15 @@ class Engine:
                 return
         raise PrivilegeError(f"{self.user} may not {right} {table}")
 
+    def allow_calls(self, text: str) -> None:
+        """EXECUTE on each stored function that a statement calls."""
+        if self.user is None or not self.state["functions"]:
+            return
+        tokens = tokenize(text, self.dialect)
+        for t, after in zip(tokens, tokens[1:]):
+            if after.text == "(" and t.kind != "string" and self.find("functions", t.text) and tokens[0].up not in ("CREATE", "DROP", "GRANT", "REVOKE"):
+                self.allow("EXECUTE", t.text)
+
     def do_grant(self, s: dict) -> Result:
         for p in s["privileges"]:
             if p not in RIGHTS or (p == "EXECUTE") != (s["what"] == "function") and p != "ALL":
@@ -376,13 +390,20 @@ class Engine:
         return Result("CREATE")
 
     def do_create_function(self, s: dict) -> Result:
-        t = Statements(s["body"], self.dialect)
+        f = {k: s[k] for k in ("args", "returns", "body")}
+        self.define(s["name"], f)
+        self.state["functions"][s["name"]] = f
+        if self.user is not None:  # who makes a function may call it and let others
+            self.state["grants"].append({"to": self.user, "object": s["name"], "what": "function", "privilege": "EXECUTE", "option": True, "by": None})
+        return Result("CREATE")
+
+    def define(self, key: str, f: dict) -> None:
+        """Makes a stored function known to the session."""
+        t = Statements(f["body"], self.dialect)
         body = t.expr()
         t.done()
-        args = ", ".join(f"{sql_name(n)} {parse_type(k).spark.upper()}" for n, k in s["args"])
-        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {sql_name(s['name'])}({args}) RETURNS {parse_type(s['returns']).spark.upper()} RETURN {body}")
-        self.state["functions"][s["name"]] = {k: s[k] for k in ("args", "returns", "body")}
-        return Result("CREATE")
+        args = ", ".join(f"{sql_name(n)} {parse_type(k).spark.upper()}" for n, k in f["args"])
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {sql_name(key)}({args}) RETURNS {parse_type(f['returns']).spark.upper()} RETURN {body}")
 
     def do_drop(self, s: dict) -> Result:
         what = {"index": "indexes"}.get(s["what"], s["what"] + "s")
@@ -401,6 +422,13 @@ class Engine:
                 raise semantic(f"{', '.join(users)} read {key}; use CASCADE")
             for v in users:
                 self.do_drop({"what": "view", "name": v, "exists": True, "cascade": True})
+        if what == "tables":
+            for child, f in self.referrers(key):
+                if child["name"] == key:
+                    continue
+                if not s["cascade"]:
+                    raise semantic(f"{f['name']} of {child['name']} refers to {key}; use CASCADE")
+                child["table"]["foreign"].remove(f)
         gone = self.state[what].pop(key)
         if what == "indexes" and gone["unique"]:
             table = self.table(gone["table"])
@@ -412,6 +440,20 @@ class Engine:
             self.spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {sql_name(key)}")
         return Result("DROP")
 
+    def referrers(self, key: str) -> list[tuple[dict, dict]]:
+        """Foreign keys that refer to a table: the name and table that has one, and it."""
+        return [({"name": k, "table": t}, f) for k, t in self.state["tables"].items() for f in t["foreign"] if f["table"].lower() == key.lower()]
+
+    def unread(self, key: str, column: str | None = None) -> None:
+        """Raises an error if a view, assertion, trigger or function has the table (and the column, if given) in its
+        text, which would no longer hold."""
+        texts = [(f"view {k}", v["sql"]) for k, v in self.state["views"].items()] + [(f"assertion {k}", a["check"]) for k, a in self.state["assertions"].items()]
+        texts += [(f"trigger {k}", t["body"]) for k, t in self.state["triggers"].items()] + [(f"function {k}", f["body"]) for k, f in self.state["functions"].items()]
+        for label, text in texts:
+            words = {t.text.lower() for t in tokenize(text, self.dialect) if t.kind != "string"}
+            if key.lower() in words and (column is None or column.lower() in words):
+                raise semantic(f"{label} reads {key}{f'.{column}' if column else ''}", token=key)
+
     def do_alter(self, s: dict) -> Result:
         key = self.key("tables", s["table"])
         table, do = self.table(s["table"]), s["do"]
@@ -431,12 +473,25 @@ class Engine:
         elif do in ("drop_column", "rename_column", "set_type"):
             df = self.store.read(table)
             if do == "drop_column":
+                self.unread(key, column["name"])
+                if any(column["name"].lower() in [x.lower() for x in self.parent(f)[1]] for _, f in self.referrers(key)):
+                    raise semantic(f"a foreign key refers to {key}.{column['name']}")
                 table["columns"].remove(column)
                 df = df.drop(column["name"])
+                table["checks"] = [c for c in table["checks"] if renamed(c["check"], column["name"], "x") == c["check"]]
+                self.state["indexes"] = {k: i for k, i in self.state["indexes"].items() if i["table"].lower() != key.lower() or column["name"].lower() not in [x.lower() for x in i["columns"]]}
                 for part in ("unique", "foreign"):
                     table[part] = [u for u in table[part] if column["name"].lower() not in [x.lower() for x in u["columns"]]]
             elif do == "rename_column":
+                if any(c["name"].lower() == s["to"].lower() for c in table["columns"]):
+                    raise semantic(f"column {s['to']} is there already")
+                self.unread(key, column["name"])
                 df = df.withColumnRenamed(column["name"], s["to"])
+                for c in table["checks"]:
+                    c["check"] = renamed(c["check"], column["name"], s["to"])
+                lists = [f["to"] for _, f in self.referrers(key) if f["to"]] + [i["columns"] for i in self.state["indexes"].values() if i["table"].lower() == key.lower()]
+                for names in lists:
+                    names[:] = [s["to"] if x.lower() == column["name"].lower() else x for x in names]
                 for part in ("unique", "foreign"):
                     for u in table[part]:
                         u["columns"] = [s["to"] if x.lower() == column["name"].lower() else x for x in u["columns"]]
@@ -450,6 +505,14 @@ class Engine:
         elif do == "rename":
             if self.find("tables", s["to"]) or self.find("views", s["to"]):
                 raise semantic(f"{s['to']} exists")
+            self.unread(key)
+            for _, f in self.referrers(key):
+                f["table"] = s["to"]
+            for part in ("triggers", "indexes"):
+                for x in self.state[part].values():
+                    x["table"] = s["to"] if x["table"].lower() == key.lower() else x["table"]
+            for g in self.state["grants"]:
+                g["object"] = s["to"] if g["what"] != "function" and g["object"].lower() == key.lower() else g["object"]
             self.state["tables"][s["to"]] = self.state["tables"].pop(key)
         elif do in ("set_default", "drop_default"):
             column["default"] = s.get("default")
@@ -499,9 +562,12 @@ class Engine:
             kind, _, what = bad["broken"].rpartition(" ")
             raise ConstraintError(kind, f"{key}: {bad['broken']} is violated", name=what)
 
-    def check_unique(self, key: str, table: dict, changed: DataFrame) -> None:
-        """Keys of changed rows occur once in the table; NULL equals nothing outside of primary keys."""
+    def check_unique(self, key: str, table: dict, changed: DataFrame, of: set[str] | None = None) -> None:
+        """Keys of changed rows occur once in the table; NULL equals nothing outside of primary keys. of: only
+        keys with one of these columns are in question."""
         for u in self.active(table, "unique"):
+            if of is not None and not of & {c.lower() for c in u["columns"]}:
+                continue
             cols = [sql_name(c) for c in u["columns"]]
             whole = self.store.read(table).select(*cols).dropna()
             mine = changed.select(*cols).dropna().distinct()
@@ -516,8 +582,10 @@ class Engine:
             raise semantic(f"{f['table']} has no primary key to refer to")
         return parent, to
 
-    def check_foreign(self, key: str, table: dict, rows: DataFrame) -> None:
+    def check_foreign(self, key: str, table: dict, rows: DataFrame, of: set[str] | None = None) -> None:
         for f in self.active(table, "foreign"):
+            if of is not None and not of & {c.lower() for c in f["columns"]}:
+                continue
             parent, to = self.parent(f)
             mine = rows.select(*map(sql_name, f["columns"])).distinct()
             nulls = [F.col(sql_name(c)).isNull() for c in f["columns"]]
@@ -528,11 +596,18 @@ class Engine:
             if f["match"] == "FULL":
                 if mine.filter(any_null & ~all_null).first():
                     raise ConstraintError("FOREIGN KEY", f"{key}: {f['name']} is partly NULL", name=f["name"])
-            mine = mine.filter(~any_null)
             there = self.store.read(parent).select(*(F.col(sql_name(t)).alias(c) for t, c in zip(to, f["columns"])))
-            lost = mine.join(there, f["columns"], "left_anti").first()
-            if lost:
-                raise ConstraintError("FOREIGN KEY", f"{key}: {tuple(lost)} is not in {f['table']}", name=f["name"])
+            # with MATCH PARTIAL a row that is partly NULL needs a parent that has its other values
+            sets = [f["columns"]]
+            if f["match"] == "PARTIAL":
+                sets += [list(c) for n in range(1, len(f["columns"])) for c in combinations(f["columns"], n)]
+            for own in sets:
+                these = F.lit(True)
+                for c, n in zip(f["columns"], nulls):
+                    these = these & (~n if c in own else n)
+                lost = mine.filter(these).select(*map(sql_name, own)).join(there, own, "left_anti").first()
+                if lost:
+                    raise ConstraintError("FOREIGN KEY", f"{key}: {tuple(lost)} is not in {f['table']}", name=f["name"])
 
     def check_table(self, key: str, table: dict) -> None:
         rows = self.store.read(table)
@@ -549,8 +624,9 @@ class Engine:
             if self.spark.sql(f"SELECT coalesce({a['check']}, true) AS ok").first()["ok"] is False:
                 raise ConstraintError("ASSERTION", f"assertion {k} is violated", name=k)
 
-    def cascade(self, key: str, old: DataFrame | None) -> None:
-        """What other tables' foreign keys ask for after `old` rows of table key went or changed."""
+    def cascade(self, key: str, old: DataFrame | None, event: str = "delete") -> None:
+        """What other tables' foreign keys ask for after `old` rows of table key went, or, on event update, changed:
+        then old has the new value of a column c as __new_c, where it may differ."""
         if old is None:
             return
         for child_key, child in list(self.state["tables"].items()):
@@ -558,16 +634,29 @@ class Engine:
                 if f["table"].lower() != key.lower():
                     continue
                 parent, to = self.parent(f)
+                fresh = [f"__new_{t}" if f"__new_{t}" in old.columns else t for t in to]
+                if event == "update" and fresh == to or not child["dirs"]:
+                    continue
                 there = self.store.read(parent).select(*map(sql_name, to))
-                gone = old.select(*map(sql_name, to)).dropna().distinct().join(there, to, "left_anti")
-                gone = gone.select(*(F.col(sql_name(t)).alias(c) for t, c in zip(to, f["columns"])))
+                gone = old.select(*(F.col(sql_name(t)).alias(c) for t, c in zip(to, f["columns"])), *(F.col(sql_name(n)).alias(f"__to_{c}") for n, c in zip(fresh, f["columns"])))
+                gone = gone.dropna(subset=f["columns"]).distinct()
+                gone = gone.join(there.select(*(F.col(sql_name(t)).alias(c) for t, c in zip(to, f["columns"]))), f["columns"], "left_anti")
+                pairs, gone = gone, gone.select(*map(sql_name, f["columns"])).distinct()
                 rows = self.store.read(child)
-                if not child["dirs"] or not rows.join(gone, f["columns"], "left_semi").limit(1).count():
+                if not rows.join(gone, f["columns"], "left_semi").limit(1).count():
                     continue
-                action = f["delete"]
+                action = f[event]
                 if action in ("NO ACTION", "RESTRICT"):
                     raise ConstraintError("FOREIGN KEY", f"rows of {child_key} refer to {key}", name=f["name"])
                 hit = rows.join(gone, f["columns"], "left_semi")
+                if action == "CASCADE" and event == "update":
+                    moved = rows.join(pairs.withColumn("__hit", F.lit(True)), f["columns"], "left")
+                    mine = {c.lower(): c for c in f["columns"]}
+                    now = [F.when(F.col("__hit"), F.col(f"__to_{mine[c['name'].lower()]}")).otherwise(F.col(sql_name(c["name"]))).alias(c["name"]) if c["name"].lower() in mine else F.col(sql_name(c["name"])) for c in child["columns"]]
+                    self.rewrite(child_key, child, moved.select(*now))
+                    self.check_table(child_key, child)
+                    self.cascade(child_key, hit.join(pairs, f["columns"]).withColumnsRenamed({f"__to_{c}": f"__new_{c}" for c in f["columns"]}), "update")
+                    continue
                 if action == "CASCADE":
                     self.rewrite(child_key, child, rows.join(gone, f["columns"], "left_anti"))
                     self.cascade(child_key, hit)
@@ -579,6 +668,8 @@ class Engine:
                         mark = mark.withColumn(c["name"], F.when(F.col("__hit"), F.expr(value)).otherwise(F.col(sql_name(c["name"]))))
                 self.rewrite(child_key, child, mark)
                 self.check_table(child_key, child)
+                after = {f"__new_{c['name']}": F.expr(f"CAST({c['default']} AS {c['spark']})" if action == "SET DEFAULT" and c["default"] else f"CAST(NULL AS {c['spark']})") for c in child["columns"] if c["name"].lower() in [x.lower() for x in f["columns"]]}
+                self.cascade(child_key, hit.withColumns(after), "update")
 
     def fire(self, time: str, event: str, table: str) -> None:
         if self.firing >= 16:
@@ -650,7 +741,9 @@ class Engine:
                 rows = [[defaults[g.lower()] if x == "DEFAULT" else x for g, x in zip(given, r)] for r in s["values"]]
                 # each row by itself, as values of a column may have different types
                 typed = {c["name"].lower(): c for c in table["columns"]}
-                source = " UNION ALL ".join("SELECT " + ", ".join(f"{self.typed(table, typed[g.lower()], x)} AS {sql_name(g)}" for g, x in zip(given, r)) for r in rows)
+                # one projection, whatever the number of rows
+                texts = ["struct(" + ", ".join(f"{self.typed(table, typed[g.lower()], x)} AS {sql_name(g)}" for g, x in zip(given, r)) + ")" for r in rows]
+                source = f"SELECT inline(array({', '.join(texts)}))"
         else:
             source = s["sql"]
         rows = self.run_sql(source)
@@ -710,19 +803,63 @@ class Engine:
                 raise semantic(f"no column {c} in {key}")
         sets = {c.lower(): self.typed(table, columns[c.lower()], columns[c.lower()]["default"] or "NULL" if x == "DEFAULT" else x) for c, x in s["set"]}
         extra = [f"{x} AS __n_{k}" for k, x in enumerate(sets.values())]
-        n, dirs, changed, before = 0, [], [], []
+        # columns that foreign keys refer to: their old values are kept for what these ask for
+        told = sorted({c.lower() for _, f in self.referrers(key) for c in self.parent(f)[1]} & set(sets))
+        alias = s["alias"] if not view else key
+        if s["joins"]:
+            n, new = self.update_joined(key, table, alias, s["joins"], where, sets, extra, told)
+        else:
+            n, new = self.update_plain(key, table, alias, where, sets, told)
+        self.check_view(view, new)
+        self.check_rows(key, table, new)
+        if n:
+            self.check_unique(key, table, new, set(sets))
+            self.check_foreign(key, table, new, set(sets))
+            if told:
+                self.cascade(key, self.with_rest(new, told), "update")
+        return self.finish("UPDATE", key, new.select(*(sql_name(c["name"]) for c in table["columns"])), n, s)
+
+    @staticmethod
+    def with_rest(new: DataFrame, told: list[str]) -> DataFrame:
+        """Updated rows as they were in the columns told, whose new values are __new_c."""
+        names = {c.lower(): c for c in new.columns}
+        out = new.withColumns({f"__new_{names[c]}": F.col(sql_name(names[c])) for c in told})
+        return out.withColumns({names[c]: F.col(f"__old_{c}") for c in told})
+
+    def update_plain(self, key: str, table: dict, alias: str, where: str | None, sets: dict, told: list[str]) -> tuple[int, DataFrame]:
+        """Rewrites the folders that hold rows meant, in one pass without a join. Gives their number and the
+        new rows."""
+        rows = self.store.read(table)
+        if table["dirs"]:
+            rows = rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1).alias("__dir"))
+            rows.createOrReplaceTempView("__target")
+            text = f"SELECT __dir, count(*) AS n FROM __target AS {sql_name(alias)}{f' WHERE {where}' if where else ''} GROUP BY __dir"
+            hits = {r["__dir"]: r["n"] for r in self.run_sql(text).collect()}
+            touched = [d for d in table["dirs"] if d.rsplit("/", 1)[1] in hits]
+        if not table["dirs"] or not touched:
+            return 0, self.store.read(table | {"dirs": []}).withColumns({f"__old_{c}": F.lit(None) for c in told})
+        self.store.read(table | {"dirs": touched}).createOrReplaceTempView("__target")
+        hit = f"coalesce({where}, false)" if where else "true"
+        put = lambda c: f"CASE WHEN __hit THEN {sets[c.lower()]} ELSE {sql_name(alias)}.{sql_name(c)} END AS {sql_name(c)}" if c.lower() in sets else f"{sql_name(alias)}.{sql_name(c)}"
+        columns = ", ".join([*(put(c["name"]) for c in table["columns"]), *(f"{sql_name(alias)}.{sql_name(c)} AS __old_{c}" for c in told), "__hit"])
+        df = self.run_sql(f"SELECT {columns} FROM (SELECT *, {hit} AS __hit FROM __target AS {sql_name(alias)}) AS {sql_name(alias)}")
+        path = self.store.write(key, df)
+        table["dirs"] = [*(d for d in table["dirs"] if d not in touched), path]
+        return sum(hits.values()), self.spark.read.parquet(f"{self.store.root}/{path}").filter("__hit").drop("__hit")
+
+    def update_joined(self, key: str, table: dict, alias: str, joins: str, where: str | None, sets: dict, extra: list[str], told: list[str]) -> tuple[int, DataFrame]:
+        """UPDATE ... JOIN: rows are found by their place in the files. Gives their number and the new rows."""
+        n, dirs, changed, order = 0, [], [], list(sets)
         for d in table["dirs"]:
-            hit = self.hits(table, s["alias"] if not view else key, s["joins"], where, extra, d)
-            if s["joins"]:  # a row that joins several takes the first in the order of the new values
-                hit = hit.groupBy("__file", "__row").agg(F.min(F.struct(*(f"__n_{k}" for k in range(len(sets))))).alias("__n")).select("__file", "__row", "__n.*")
-            hit = hit.select("__file", "__row", *(f"__n_{k}" for k in range(len(sets))), F.lit(True).alias("__hit"))
+            hit = self.hits(table, alias, joins, where, extra, d)
+            # a row that joins several takes the first in the order of the new values
+            hit = hit.groupBy("__file", "__row").agg(F.min(F.struct(*(f"__n_{k}" for k in range(len(sets))))).alias("__n")).select("__file", "__row", "__n.*", F.lit(True).alias("__hit"))
             rows = self.store.read(table | {"dirs": [d]})
             rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
             marked = rows.join(hit, ["__file", "__row"], "left")
-            order = list(sets)
             new = [F.when(F.col("__hit"), F.col(f"__n_{order.index(c['name'].lower())}")).otherwise(F.col(sql_name(c["name"]))).alias(c["name"]) if c["name"].lower() in sets else F.col(sql_name(c["name"])) for c in table["columns"]]
-            path = self.store.write(key, marked.select(*new, F.coalesce("__hit", F.lit(False)).alias("__hit")))
-            part = self.spark.read.parquet(f"{self.store.root}/{path}").filter("__hit")
+            path = self.store.write(key, marked.select(*new, *(F.col(sql_name(c)).alias(f"__old_{c}") for c in told), F.coalesce("__hit", F.lit(False)).alias("__hit")))
+            part = self.spark.read.parquet(f"{self.store.root}/{path}").filter("__hit").drop("__hit")
             here = part.count()
             if not here:
                 self.store.files.remove(path)
@@ -730,18 +867,9 @@ class Engine:
                 continue
             n += here
             dirs.append(path)
-            changed.append(part.select(*(sql_name(c["name"]) for c in table["columns"])))
-            before.append(self.store.read(table | {"dirs": [d]}))
+            changed.append(part)
         table["dirs"] = dirs
-        new = _union(changed) if changed else self.store.read(table | {"dirs": []})
-        self.check_view(view, new)
-        self.check_rows(key, table, new)
-        if n:
-            self.check_unique(key, table, new)
-            self.check_foreign(key, table, new)
-            if any(f["table"].lower() == key.lower() for t in self.state["tables"].values() for f in t["foreign"]):
-                self.cascade(key, _union(before))
-        return self.finish("UPDATE", key, new, n, s)
+        return n, _union(changed) if changed else self.store.read(table | {"dirs": []}).withColumns({f"__old_{c}": F.lit(None) for c in told})
 
     def do_delete(self, s: dict) -> Result:
         key, table, view = self.through_view(s, "DELETE")
@@ -827,6 +955,13 @@ class Engine:
         return self.finish("MERGE", key, new, n_new + n_gone, s)
 
 
+def renamed(text: str, old: str, new: str) -> str:
+    """SQL text with a column's name replaced, but in strings and where it names a function."""
+    word = rf"'(?:[^']|'')*'|`(?:[^`]|``)*`|(?<![\w.]){re.escape(old)}\b(?!\s*\()"
+    put = lambda m: sql_name(new) if m[0].strip("`").lower() == old.lower() and m[0][0] != "'" else m[0]
+    return re.sub(word, put, text, flags=re.IGNORECASE)
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
