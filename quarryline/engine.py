@@ -671,6 +671,14 @@ class Engine:
                 after = {f"__new_{c['name']}": F.expr(f"CAST({c['default']} AS {c['spark']})" if action == "SET DEFAULT" and c["default"] else f"CAST(NULL AS {c['spark']})") for c in child["columns"] if c["name"].lower() in [x.lower() for x in f["columns"]]}
                 self.cascade(child_key, hit.withColumns(after), "update")
 
+    def cascade_merge(self, key: str, before: list[str], updated: DataFrame, deleted: DataFrame, target: DataFrame, names: list[str]) -> None:
+        """What foreign keys ask for after a MERGE: its deletes, then its updates. before: the table's folders then."""
+        old = target.select("__id", *map(sql_name, names))
+        if before:
+            self.cascade(key, old.join(deleted.select("__id"), "__id", "left_semi").drop("__id"))
+            new = updated.select("__id", *(F.col(sql_name(c)).alias(f"__new_{c}") for c in names))
+            self.cascade(key, old.join(new, "__id").drop("__id"), "update")
+
     def fire(self, time: str, event: str, table: str) -> None:
         if self.firing >= 16:
             raise SqlError("SQL_UNSUPPORTED", "triggers call each other too deeply")
@@ -911,9 +919,10 @@ class Engine:
         names = [c["name"] for c in table["columns"]]
         target = self.store.read(table)
         if table["dirs"]:
-            target = target.select("*", F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("__id"))
+            folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1)
+            target = target.select("*", F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("__id"), folder.alias("__dir"))
         else:
-            target = target.withColumn("__id", F.lit(None).cast("string"))
+            target = target.withColumns({"__id": F.lit(None).cast("string"), "__dir": F.lit(None).cast("string")})
         target.createOrReplaceTempView("__target")
         alias, columns = sql_name(s["alias"]), {c["name"].lower(): c for c in table["columns"]}
         matched = [c for c in s["clauses"] if c["matched"]]
@@ -924,7 +933,7 @@ class Engine:
         for n in names:
             cases = [f"WHEN {k} THEN {self.typed(table, columns[n.lower()], x)}" for k, c in enumerate(matched) if c["do"] == "update" for col, x in c["set"] if col.lower() == n.lower()]
             news.append(f"CASE ({which}) {' '.join(cases)} ELSE {alias}.{sql_name(n)} END AS {sql_name(n)}" if cases else f"{alias}.{sql_name(n)}")
-        acts = self.run_sql(f"SELECT {alias}.__id AS __id, ({which}) AS __act, {', '.join(news)} {pairs}").filter("__act is not null")
+        acts = self.run_sql(f"SELECT {alias}.__id AS __id, {alias}.__dir AS __dir, ({which}) AS __act, {', '.join(news)} {pairs}").filter("__act is not null")
         path = self.store.write(key, acts)
         acts = self.spark.read.parquet(f"{self.store.root}/{path}")
         if acts.groupBy("__id").agg(F.count("*").alias("c")).filter("c > 1").first():
@@ -933,7 +942,10 @@ class Engine:
         updates = [k for k, c in enumerate(matched) if c["do"] == "update"]
         updated, deleted = acts.filter(F.col("__act").isin(updates)) if updates else acts.limit(0), acts.filter(F.col("__act").isin(deletes)) if deletes else acts.limit(0)
         touched = acts.filter(F.col("__act").isin(updates + deletes)) if updates + deletes else acts.limit(0)
-        kept = self.spark.table("__target").join(touched.select("__id"), "__id", "left_anti").select(*map(sql_name, names))
+        # only folders with rows that change are written again
+        hit = {r["__dir"] for r in touched.select("__dir").distinct().collect()}
+        stay = [d for d in table["dirs"] if d.rsplit("/", 1)[1] not in hit]
+        kept = target.filter(F.col("__dir").isin(list(hit))).join(touched.select("__id"), "__id", "left_anti").select(*map(sql_name, names))
         parts = []
         for c in fresh:
             given = c["columns"] or names
@@ -945,13 +957,13 @@ class Engine:
         n_new, n_gone = new.count(), deleted.count()
         path = self.store.write(key, kept.unionByName(new))
         before = table["dirs"]
-        table["dirs"] = [path]
+        table["dirs"] = [*stay, path]
         self.check_view(view, new)
         self.check_rows(key, table, new)
         self.check_unique(key, table, new)
         self.check_foreign(key, table, new)
-        if n_gone or updates:
-            self.cascade(key, self.store.read(table | {"dirs": before}))
+        if self.referrers(key):
+            self.cascade_merge(key, before, updated, deleted, target, names)
         return self.finish("MERGE", key, new, n_new + n_gone, s)
 
 
