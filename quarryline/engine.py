@@ -795,7 +795,7 @@ class Engine:
     def hits(self, table: dict, alias: str, joins: str, where: str | None, extra: list[str], d: str) -> DataFrame:
         """Rows of folder d of the table that a statement means, each with its place in the files."""
         rows = self.store.read(table | {"dirs": [d]})
-        rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        rows = rows.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
         rows.createOrReplaceTempView("__target")
         text = f"SELECT {', '.join([f'{sql_name(alias)}.*', *extra])} FROM __target AS {sql_name(alias)}{joins}{f' WHERE {where}' if where else ''}"
         return self.run_sql(text)
@@ -863,7 +863,7 @@ class Engine:
             # a row that joins several takes the first in the order of the new values
             hit = hit.groupBy("__file", "__row").agg(F.min(F.struct(*(f"__n_{k}" for k in range(len(sets))))).alias("__n")).select("__file", "__row", "__n.*", F.lit(True).alias("__hit"))
             rows = self.store.read(table | {"dirs": [d]})
-            rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+            rows = rows.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
             marked = rows.join(hit, ["__file", "__row"], "left")
             new = [F.when(F.col("__hit"), F.col(f"__n_{order.index(c['name'].lower())}")).otherwise(F.col(sql_name(c["name"]))).alias(c["name"]) if c["name"].lower() in sets else F.col(sql_name(c["name"])) for c in table["columns"]]
             path = self.store.write(key, marked.select(*new, *(F.col(sql_name(c)).alias(f"__old_{c}") for c in told), F.coalesce("__hit", F.lit(False)).alias("__hit")))
@@ -892,7 +892,7 @@ class Engine:
                 dirs.append(d)
                 continue
             rows = self.store.read(table | {"dirs": [d]})
-            rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+            rows = rows.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
             lost.append(rows.join(hit, ["__file", "__row"], "left_semi").drop("__file", "__row"))
             kept = rows.join(hit, ["__file", "__row"], "left_anti").drop("__file", "__row")
             dirs.append(self.store.write(key, kept))
@@ -919,10 +919,11 @@ class Engine:
         names = [c["name"] for c in table["columns"]]
         target = self.store.read(table)
         if table["dirs"]:
-            folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1)
-            target = target.select("*", F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index")).alias("__id"), folder.alias("__dir"))
+            # a row's name is short, as it is shuffled: its folder's place, its file's and its own
+            parts = [self.store.read(table | {"dirs": [d]}).withColumn("__dir", F.lit(k)).select("*", F.substring_index(F.substring_index("_metadata.file_name", "-", 2), "-", -1).alias("__part"), F.substring_index("_metadata.file_name", "-", -1).alias("__file"), F.col("_metadata.row_index").alias("__row")) for k, d in enumerate(table["dirs"])]
+            target = _union(parts).withColumn("__id", F.struct("__dir", "__part", "__file", "__row")).drop("__part", "__file", "__row")
         else:
-            target = target.withColumns({"__id": F.lit(None).cast("string"), "__dir": F.lit(None).cast("string")})
+            target = target.withColumns({"__id": F.lit(None).cast("struct<a:int>"), "__dir": F.lit(None).cast("int")})
         target.createOrReplaceTempView("__target")
         alias, columns = sql_name(s["alias"]), {c["name"].lower(): c for c in table["columns"]}
         matched = [c for c in s["clauses"] if c["matched"]]
@@ -944,7 +945,7 @@ class Engine:
         touched = acts.filter(F.col("__act").isin(updates + deletes)) if updates + deletes else acts.limit(0)
         # only folders with rows that change are written again
         hit = {r["__dir"] for r in touched.select("__dir").distinct().collect()}
-        stay = [d for d in table["dirs"] if d.rsplit("/", 1)[1] not in hit]
+        stay = [d for k, d in enumerate(table["dirs"]) if k not in hit]
         kept = target.filter(F.col("__dir").isin(list(hit))).join(touched.select("__id"), "__id", "left_anti").select(*map(sql_name, names))
         parts = []
         for c in fresh:

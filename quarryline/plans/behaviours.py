@@ -62,7 +62,7 @@ kept("fk_set_default", f"{children('ON UPDATE SET DEFAULT ON DELETE SET DEFAULT'
 kept("fk_restrict", children("ON UPDATE RESTRICT"), [CHANGE, REMOVE, "INSERT INTO o VALUES (-1, -1)", "UPDATE o SET c = -1", "DROP TABLE cu"], "SELECT o.k, o.c, cu.id FROM o JOIN cu ON cu.id = o.c", "SELECT k, c, c AS id FROM t")
 kept(
     "fk_chain", f"{children('ON UPDATE CASCADE')}; CREATE TABLE a (x BIGINT PRIMARY KEY); INSERT INTO a SELECT DISTINCT c FROM t; CREATE TABLE b (x BIGINT PRIMARY KEY REFERENCES a ON UPDATE CASCADE); INSERT INTO b SELECT x FROM a; CREATE TABLE d (x BIGINT REFERENCES b ON UPDATE SET NULL); INSERT INTO d SELECT c FROM t; UPDATE a SET x = 0 - x WHERE x % 2 = 0",
-    [], "SELECT (SELECT sum(x) FROM b) AS sb, x FROM d", "SELECT (SELECT sum(CASE WHEN c % 2 = 0 THEN -c ELSE c END) FROM (SELECT DISTINCT c FROM t)) AS sb, CASE WHEN c % 2 <> 0 OR c = 0 THEN c END AS x FROM t",
+    [], "SELECT (SELECT sum(x) FROM b) AS sb, x FROM d", "SELECT (SELECT CAST(sum(CASE WHEN c % 2 = 0 THEN -c ELSE c END) AS BIGINT) FROM (SELECT DISTINCT c FROM t)) AS sb, CASE WHEN c % 2 <> 0 OR c = 0 THEN c END AS x FROM t",
 )
 PAIRS = "CREATE TABLE p2 (a INT, b INT, PRIMARY KEY (a, b)); INSERT INTO p2 VALUES (1, 1), (2, 2); CREATE TABLE c2 (x INT, y INT, FOREIGN KEY (x, y) REFERENCES p2 {}); INSERT INTO c2 VALUES (1, 1), (NULL, NULL)"
 kept("fk_match_partial", PAIRS.format("MATCH PARTIAL") + "; INSERT INTO c2 VALUES (1, NULL), (NULL, 2)", ["INSERT INTO c2 VALUES (3, NULL)", "INSERT INTO c2 VALUES (NULL, 9)", "INSERT INTO c2 VALUES (1, 2)"], "SELECT x, y FROM c2", "SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM (VALUES (1, 1), (NULL, NULL), (1, NULL), (NULL, 2)) v(x, y)")
@@ -170,7 +170,7 @@ def limiters(spark, sf_dir):
 
 # functions
 
-sql("fn_names", "SELECT p_partkey, ceiling(p_retailprice) AS a, pow(p_size, 2) AS b, char_length(p_name) AS c, character_length(p_name) AS d, ucase(p_name) AS e, json('{ \"a\" : 1 }') AS f FROM part", "SELECT p_partkey, CAST(ceil(p_retailprice) AS BIGINT) AS a, pow(p_size, 2) AS b, length(p_name) AS c, length(p_name) AS d, upper(p_name) AS e, '{ \"a\" : 1 }' AS f FROM part")
+sql("fn_names", "SELECT p_partkey, ceiling(p_retailprice) AS a, pow(p_size, 2) AS b, char_length(p_name) AS c, character_length(p_name) AS d, ucase(p_name) AS e, json('{ \"a\" : 1 }') AS f FROM part", "SELECT p_partkey, CAST(ceil(p_retailprice) AS BIGINT) AS a, pow(p_size, 2) AS b, CAST(length(p_name) AS INTEGER) AS c, CAST(length(p_name) AS INTEGER) AS d, upper(p_name) AS e, '{ \"a\" : 1 }' AS f FROM part")
 sql("fn_now", "SELECT r_regionkey, now() IS NULL AS a, current_timestamp IS NULL AS b, current_date IS NULL AS c, current_time IS NULL AS d, random() BETWEEN -9223372036854775807 AND 9223372036854775807 AS e FROM region", "SELECT r_regionkey, false AS a, false AS b, false AS c, false AS d, true AS e FROM region")
 sql("fn_session", "SELECT r_regionkey, changes() AS a, total_changes() AS b, last_insert_rowid() AS c, txn_current() AS d, txn_difference() AS e, rowid() AS f, oid() AS g, sqlite_version() AS h, sqlite_source_id() AS i FROM region", "SELECT r_regionkey, 0 AS a, 0 AS b, 0 AS c, 0 AS d, 0 AS e, CAST(NULL AS BIGINT) AS f, CAST(NULL AS BIGINT) AS g, '3.45.0' AS h, '2024-01-15 00:00:00' AS i FROM region")
 sql("approx_count", "SELECT o_orderstatus, approx_count_distinct(o_orderpriority) AS n FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY o_orderstatus")
@@ -221,7 +221,7 @@ def log_tables(spark, sf_dir):
     return changelog.replay(changelog.verify(changelog.read_log(spark, f"{root}/log", ["o3"])).filter("accepted"), log_schema(), "k")
 
 
-@query("log_writer", "SELECT * FROM (VALUES (1, 'x''y', 2.5), (2, NULL, 3.0)) v(id, name, price)")
+@query("log_writer", "SELECT * FROM (VALUES (1, 'x''y', 2.5::DOUBLE), (2, NULL, 3.0::DOUBLE)) v(id, name, price)")
 def log_writer(spark, sf_dir):
     """Statements written as chained records, read back and replayed."""
     from pyspark.sql.types import StructType

@@ -299,6 +299,7 @@ def orders_log(spark: SparkSession, sf_dir: str, chains: int = 16, changes: bool
     their key; a task chains the records of a table, one after another, as each has the hash of the last."""
     import pandas as pd
 
+    from ..operators.ranking import shared_folder
     from ..sources import changelog
 
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
@@ -322,7 +323,10 @@ def orders_log(spark: SparkSession, sf_dir: str, chains: int = 16, changes: bool
             last = digest
         return pd.DataFrame(out, columns=[c.split()[0] for c in changelog.SCHEMA.split(", ")])
 
-    return rows.groupBy("table_id").applyInPandas(chained, changelog.SCHEMA)
+    # a log is a table: it is made once, not by each of its readers
+    path = f"{shared_folder(rows)}/log"
+    rows.groupBy("table_id").applyInPandas(chained, changelog.SCHEMA).write.parquet(path)
+    return spark.read.schema(changelog.SCHEMA).parquet(path)
 
 
 LOG_ORACLE = "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS s FROM orders WHERE o_orderkey % 5 <> 0"
