@@ -123,7 +123,9 @@ def resample(pcm: np.ndarray, up: int, down: int, bank: np.ndarray) -> np.ndarra
 def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs plus n_bytes and media, in place of an own column named so: the text's UTF-8 bytes, filled
     with spaces to a positive multiple of BLOCK, as the samples of a WAV file whose codec follows the
-    crc32 of those bytes. A null text is empty."""
+    crc32 of those bytes. A null text is empty; each row, repeated or not, gets its own file, equal texts equal
+    ones; ids don't matter. A text and its file must fit a task, whatever their length. An empty table gives no
+    rows; other columns stay."""
     keep = [f for f in docs.schema.fields if f.name not in ("n_bytes", "media")]
     docs = docs.select(*(F.col(f"`{f.name}`") for f in keep))
     schema = with_fields(docs, "n_bytes long", "media binary")
@@ -149,7 +151,8 @@ def expand_media(rows: DataFrame, media: str = "media", rate: int = 16000, keep_
     """rows without the media column, plus: codec, rate, payload (the stored data), samples, rms, peak,
     zero crossings and crc32 of the PCM resampled to `rate`, pcm (those samples; null unless keep_pcm)
     and problem (null, or why the media can't be read; then the others are null, as for null media).
-    Own columns named as one of these are replaced."""
+    Own columns named as one of these are replaced, others stay; each row is read by itself, so repeated rows
+    repeat the result and an empty table gives none. A file and its PCM must fit a task."""
     added = [x.split()[0] for x in EXPANDED.split(", ")]
     kept = [c for c in rows.columns if c not in added]
     rows = rows.select(*(F.col(f"`{c}`") for c in kept))
