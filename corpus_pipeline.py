@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents. Columns beyond those of
 documents pass through all stages but the last; own columns that an operator would add are replaced. An
-empty table gives none, a very long text is read whole.
+empty table gives none, a very long text is read whole. A null id is an id that sorts last, a null source one
+of its own; rows that repeat an id and text are kept or left out alike until the n-gram join keeps one.
 
 language_id     documents that the classifier rejects (no letters, null text, or a calibrated
                 probability below its threshold) go
