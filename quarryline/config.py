@@ -25,9 +25,17 @@ class BatchConfig:
     max_rows: int = 5000
 
 
+#: Which commits of others a transaction sees, and which it conflicts with (sources/store.py).
+ISOLATION = ("read_committed", "repeatable_read", "serializable")
+
+
 @dataclass
 class EngineConfig:
+    """transaction_timeout_ms: 0 sets no limit."""
+
     dialect: str = "ansi"
+    isolation: str = "serializable"
+    transaction_timeout_ms: int = 0
     page_size: int = 500
     strict_chain: bool = False
     log_level: str = "INFO"
@@ -50,5 +58,7 @@ def load_config(environ: dict[str, str] | None = None, **overrides) -> EngineCon
         setattr(out, k, v)
     if out.page_size < 1 or out.batch.max_ops < 1:
         raise ValueError("sizes must be positive")
+    if out.isolation not in ISOLATION or out.transaction_timeout_ms < 0:
+        raise ValueError("unknown isolation or negative timeout")
     logging.getLogger("quarryline").setLevel(out.log_level)
     return out

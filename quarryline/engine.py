@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import logging
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,8 +53,9 @@ class Engine:
         self.cursors: dict[str, object] = {}
         self.changes = self.total_changes = self.last_rowid = 0
         self.firing = 0
-        for k, f in self.state["functions"].items():
-            self.define(k, f)
+        self.next_modes: dict = {}
+        self.defined: dict[str, dict] = {}
+        self.define_all()
 
     # entry points
 
@@ -63,10 +64,15 @@ class Engine:
         parsed = Statements(text, self.dialect, self.counters())
         statement = parsed.statement()
         statement["reads"] = parsed.tables
+        if statement["kind"] != "rollback":
+            self.store.before_statement(self.config.isolation)
+        self.define_all()
         self.allow_calls(text)
+        if statement["kind"] in WRITES and self.store.saved is not None and self.store.read_only:
+            raise TransactionError("the transaction only reads")
         run = getattr(self, f"do_{statement['kind']}")
         if statement["kind"] in WRITES and self.store.saved is None:
-            self.store.begin()
+            self.store.begin(self.config.isolation)
             try:
                 out = run(statement)
                 self.check_assertions(deferred=True)
@@ -243,9 +249,21 @@ class Engine:
     # transactions
 
     def do_begin(self, s: dict) -> Result:
-        self.store.begin()
+        said, self.next_modes = self.next_modes, {}
+        isolation = s["isolation"] or said.get("isolation") or self.config.isolation
+        self.store.begin(isolation, s["read_only"] or said.get("read_only", False), self.config.transaction_timeout_ms)
         return Result("BEGIN")
 
+    def do_set_transaction(self, s: dict) -> Result:
+        """For the next transaction, or for all of the session."""
+        if self.store.saved is not None:
+            raise TransactionError("a transaction is open already")
+        if s["session"]:
+            self.config = replace(self.config, isolation=s["isolation"] or self.config.isolation)
+        else:
+            self.next_modes = {"isolation": s["isolation"], "read_only": s["read_only"]}
+        return Result("SET")
+
     def do_commit(self, s: dict) -> Result:
         if self.store.saved is None:
             raise TransactionError("no transaction is open")
@@ -392,18 +410,33 @@ class Engine:
     def do_create_function(self, s: dict) -> Result:
         f = {k: s[k] for k in ("args", "returns", "body")}
         self.define(s["name"], f)
-        self.state["functions"][s["name"]] = f
+        self.state["functions"][s["name"]] = self.defined[s["name"]] = f
         if self.user is not None:  # who makes a function may call it and let others
             self.state["grants"].append({"to": self.user, "object": s["name"], "what": "function", "privilege": "EXECUTE", "option": True, "by": None})
         return Result("CREATE")
 
+    def define_all(self) -> None:
+        """Makes the session's functions those of the state, after reopening, a rollback or a commit of others."""
+        now = self.state["functions"]
+        for k in [k for k in self.defined if k not in now]:
+            self.spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {sql_name(k)}")
+            del self.defined[k]
+        for k, f in now.items():
+            if self.defined.get(k) != f:
+                self.define(k, f)
+                self.defined[k] = f
+
     def define(self, key: str, f: dict) -> None:
-        """Makes a stored function known to the session."""
+        """Makes a stored function known to the session: an expression's, or a query's with its columns."""
         t = Statements(f["body"], self.dialect)
-        body = t.expr()
+        rows = not isinstance(f["returns"], str)
+        if rows:
+            self.refresh()
+        body = t.query() if rows else t.expr()
         t.done()
-        args = ", ".join(f"{sql_name(n)} {parse_type(k).spark.upper()}" for n, k in f["args"])
-        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {sql_name(key)}({args}) RETURNS {parse_type(f['returns']).spark.upper()} RETURN {body}")
+        columns = lambda c: ", ".join(f"{sql_name(n)} {parse_type(k).spark.upper()}" for n, k in c)
+        returns = f"TABLE ({columns(f['returns'])})" if rows else parse_type(f["returns"]).spark.upper()
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {sql_name(key)}({columns(f['args'])}) RETURNS {returns} RETURN {body}")
 
     def do_drop(self, s: dict) -> Result:
         what = {"index": "indexes"}.get(s["what"], s["what"] + "s")
@@ -437,7 +470,7 @@ class Engine:
             self.state["triggers"] = {k: v for k, v in self.state["triggers"].items() if v["table"].lower() != key.lower()}
             self.state["indexes"] = {k: v for k, v in self.state["indexes"].items() if v["table"].lower() != key.lower()}
         if what == "functions":
-            self.spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {sql_name(key)}")
+            self.define_all()
         return Result("DROP")
 
     def referrers(self, key: str) -> list[tuple[dict, dict]]:

@@ -92,6 +92,12 @@ kept("view_local_check", "CREATE VIEW v AS SELECT * FROM t WHERE p > 1000 WITH C
 kept("sql_function", "CREATE FUNCTION twice(x DOUBLE) RETURNS DOUBLE AS 'x * 2'", ["CREATE FUNCTION f(x INT) RETURNS INT AS 'BEGIN RETURN x; END'"], "SELECT k, twice(p) AS q FROM t", "SELECT k, p * 2 AS q FROM t")
 
 
+kept(
+    "table_function", "CREATE FUNCTION dear(least DOUBLE) RETURNS TABLE (k BIGINT, q DOUBLE) AS 'SELECT k, p * 2 FROM t WHERE p > least'; CREATE FUNCTION next(x BIGINT) RETURNS TABLE (y BIGINT) AS 'SELECT x + 1'; DELETE FROM t WHERE s = 'F'",
+    ["SELECT * FROM dear()", "CREATE FUNCTION bad(x INT) RETURNS TABLE (a INT) AS 'SELECT 1, 2'", "DROP FUNCTION missing"], "SELECT d.k, d.q, n.y FROM dear(1000) AS d, LATERAL next(d.k) AS n", "SELECT k, p * 2 AS q, k + 1 AS y FROM t WHERE s <> 'F' AND p > 1000",
+)
+
+
 @query("function_returns", f"SELECT k, p * 2 AS q FROM ({T})")
 def function_returns(spark, sf_dir):
     from ..engine import Engine
@@ -149,6 +155,48 @@ def explain(spark, sf_dir):
     return out.select(F.contains("plan", F.lit("Scan parquet")).alias("has_scan"), (F.length("query") > 0).alias("has_query"))
 
 
+@query("isolation", f"SELECT level, seen, after, committed FROM (SELECT (SELECT count(*) FROM ({T})) AS n, (SELECT count(*) FROM ({T}) WHERE s <> 'F') AS left_, 1 AS one) x, (VALUES ('READ COMMITTED', 1, 1, true), ('REPEATABLE READ', 0, 1, true), ('SERIALIZABLE', 0, 0, false)) v(level, a, b, committed), LATERAL (SELECT CASE a WHEN 1 THEN left_ ELSE n END AS seen, left_ AS after) y")
+def isolation(spark, sf_dir):
+    """Under each level: the rows of t that a transaction sees after another session has removed some, the rows
+    after it, and whether it could commit what it wrote to another table."""
+    from ..engine import Engine
+    from ..errors import ConflictError
+
+    out = []
+    for level in ("READ COMMITTED", "REPEATABLE READ", "SERIALIZABLE"):
+        one = store(spark, sf_dir)
+        one.sql("CREATE TABLE u (a INT)")
+        two = Engine(spark, one.store.root)
+        one.script(f"BEGIN ISOLATION LEVEL {level}; INSERT INTO u VALUES (1)")
+        two.sql("DELETE FROM t WHERE s = 'F'")
+        seen = one.query("SELECT count(*) AS n FROM t").first()["n"]
+        try:
+            one.sql("COMMIT")
+            committed = True
+        except ConflictError:
+            one.sql("ROLLBACK")
+            committed = False
+        out.append((level, seen, one.query("SELECT count(*) AS n FROM t").first()["n"], committed))
+    return spark.createDataFrame(out, "level string, seen long, after long, committed boolean")
+
+
+@query("txn_modes", f"SELECT 3 AS refused, (SELECT count(*) FROM ({T})) AS n")
+def txn_modes(spark, sf_dir):
+    """A transaction that only reads refuses writes; one that has run out of time is rolled back."""
+    from dataclasses import replace
+    from time import sleep
+
+    engine = store(spark, sf_dir)
+    engine.script("SET TRANSACTION READ ONLY; BEGIN")
+    n = refusals(engine, ["DELETE FROM t", "SET TRANSACTION ISOLATION LEVEL SERIALIZABLE"])
+    engine.sql("COMMIT")
+    engine.config = replace(engine.config, transaction_timeout_ms=1)
+    engine.sql("BEGIN")
+    sleep(0.01)
+    n += refusals(engine, ["DELETE FROM t"])
+    return engine.query(f"SELECT {n} AS refused, count(*) AS n FROM t")
+
+
 @query("wal", "SELECT 'PREPARE,COMMIT,PREPARE,COMMIT,PREPARE,COMMIT' AS phases, true AS valid")
 def wal(spark, sf_dir):
     import json

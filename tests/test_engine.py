@@ -2,6 +2,7 @@
 
 import pytest
 
+from quarryline.config import EngineConfig, load_config
 from quarryline.engine import Engine
 from quarryline.errors import ConflictError, ConstraintError, EngineError, PrivilegeError, SqlError, TransactionError
 
@@ -59,6 +60,102 @@ def test_catalog_survives_and_conflicts_are_seen(spark, tmp_path):
     assert a.store.vacuum() >= 1 and rows(a, "SELECT id FROM t") == [(2,)]
 
 
+@pytest.fixture
+def pair(spark, tmp_path):
+    """Two sessions of one folder, both of an isolation."""
+
+    def make(isolation):
+        one = Engine(spark, str(tmp_path), config=EngineConfig(isolation=isolation))
+        one.script("CREATE TABLE p (id INT PRIMARY KEY); CREATE TABLE c (id INT REFERENCES p); CREATE TABLE u (a INT); INSERT INTO p VALUES (1), (2); INSERT INTO u VALUES (1)")
+        return one, Engine(spark, str(tmp_path), config=EngineConfig(isolation=isolation))
+
+    return make
+
+
+@pytest.mark.parametrize("isolation", ["read_committed", "repeatable_read"])
+def test_weaker_isolation(pair, isolation):
+    a, b = pair(isolation)
+    # both write, to tables that have nothing to do with each other
+    a.script("BEGIN; INSERT INTO u VALUES (2); SAVEPOINT s; INSERT INTO u VALUES (3)")
+    b.sql("INSERT INTO p VALUES (3)")
+    assert len(rows(a, "SELECT id FROM p")) == (3 if isolation == "read_committed" else 2)
+    a.script("ROLLBACK TO s; COMMIT")
+    assert rows(b, "SELECT a FROM u") == [(1,), (2,)] and len(rows(a, "SELECT id FROM p")) == 3
+    # to one table
+    a.script("BEGIN; INSERT INTO u VALUES (4)")
+    b.sql("DELETE FROM u WHERE a = 1")
+    with pytest.raises(ConflictError):
+        a.sql("COMMIT")
+    a.sql("ROLLBACK")
+    assert rows(a, "SELECT a FROM u") == [(2,)]
+    # to a parent and its child
+    a.script("BEGIN; INSERT INTO c VALUES (1)")
+    b.sql("DELETE FROM p WHERE id = 1")
+    with pytest.raises(ConflictError):
+        a.sql("COMMIT")
+    a.sql("ROLLBACK")
+    a.script("BEGIN; DELETE FROM p WHERE id = 2")
+    b.sql("INSERT INTO c VALUES (2)")
+    with pytest.raises(ConflictError):
+        a.sql("COMMIT")
+    a.sql("ROLLBACK")
+    # a definition is no table
+    a.script("BEGIN; INSERT INTO u VALUES (5)")
+    b.sql("CREATE VIEW v AS SELECT a FROM u")
+    with pytest.raises(ConflictError):
+        a.sql("COMMIT")
+    a.sql("ROLLBACK")
+    # a table that is dropped meanwhile
+    a.script("BEGIN; INSERT INTO p VALUES (9)")
+    b.script("DROP VIEW v")
+    b.script("DROP TABLE u")
+    with pytest.raises(ConflictError):
+        a.sql("COMMIT")
+    a.sql("ROLLBACK")
+    with pytest.raises(Exception, match="u"):
+        a.query("SELECT a FROM u").collect()
+
+
+def test_dropped_tables_and_functions_of_others(pair):
+    a, b = pair("read_committed")
+    a.script("BEGIN; INSERT INTO p VALUES (9)")
+    b.sql("DROP TABLE u")
+    a.sql("COMMIT")
+    with pytest.raises(Exception, match="u"):
+        a.query("SELECT a FROM u").collect()
+    b.sql("CREATE FUNCTION more(x INT) RETURNS TABLE (y INT) AS 'SELECT id + x FROM p'")
+    assert rows(a, "SELECT y FROM more(10)") == [(11,), (12,), (19,)]
+    b.sql("DROP FUNCTION more")
+    with pytest.raises(Exception, match="more"):
+        a.query("SELECT y FROM more(10)").collect()
+    a.script("BEGIN; CREATE FUNCTION gone(x INT) RETURNS INT AS 'x'; ROLLBACK")
+    with pytest.raises(Exception, match="gone"):
+        a.query("SELECT gone(1)").collect()
+
+
+def test_a_session_goes_on_after_a_conflict(pair):
+    a, b = pair("serializable")
+    a.sql("INSERT INTO u VALUES (2)")
+    with pytest.raises(ConflictError):
+        b.sql("INSERT INTO u VALUES (3)")
+    b.sql("INSERT INTO u VALUES (3)")
+    assert rows(b, "SELECT a FROM u") == [(1,), (2,), (3,)]
+
+
+def test_transaction_modes(db):
+    with pytest.raises(SqlError):
+        db.sql("BEGIN ISOLATION LEVEL NONE")
+    db.sql("SET SESSION CHARACTERISTICS AS TRANSACTION ISOLATION LEVEL READ UNCOMMITTED")
+    assert db.config.isolation == "read_committed"
+    db.script("SET TRANSACTION ISOLATION LEVEL SNAPSHOT, READ ONLY; START TRANSACTION")
+    assert (db.store.isolation, db.store.read_only) == ("repeatable_read", True)
+    db.script("COMMIT; BEGIN TRANSACTION READ WRITE")
+    assert (db.store.isolation, db.store.read_only) == ("read_committed", False)
+    db.sql("ROLLBACK")
+    with pytest.raises(ValueError):
+        load_config({}, isolation="none")
+
+
 def test_keys(db):
     db.sql("CREATE TABLE t (id INT PRIMARY KEY, name TEXT, email TEXT UNIQUE)")
     db.sql("INSERT INTO t VALUES (1, 'alice', 'a'), (2, 'bob', NULL), (3, 'eve', NULL)")
