@@ -457,6 +457,21 @@ def test_lm_beats_the_baseline(spark):
     assert s["s"] > s["b"]
 
 
+def test_lm_trains_on_when_all_logits_are_far_down(spark):
+    """As long training leaves them: each row's exponentials are 0 in float32, and parameters that are no numbers
+    overflow the sums over partitions."""
+    counts = np.arange(50_000, 0, -1.0)
+    inputs = lm_score.inputs_of(counts)
+    classes, inside = lm_score.classes_of(counts, inputs, np.ones((lm_score.INPUTS, 2 * (lm_score.SINGLES + 2))))
+    model = lm_score.untrained(inputs, classes, inside, np.bincount(classes, counts))
+    model.bias -= 200
+    model.inner -= 1000
+    docs = spark.createDataFrame([(k, f"the sun shines on tree {k} and road {k} " * 40) for k in range(8)], "doc_id long, text string").repartition(2)
+    got = lm_score.trained_on(docs, model, WORD_BPE, spark.sparkContext.broadcast(({}, {})), 0.01, 1, 64, False)
+    assert all(np.isfinite(getattr(got, k)).all() for k in lm_score.PARAMETERS)
+    assert not np.array_equal(got.inner, model.inner) and not np.array_equal(got.emb, model.emb)
+
+
 def test_lm_learns_from_all_of_a_long_text(spark):
     rng, words = random.Random(4), "sun tree road blue fish door hand cold stone milk bird fire leaf rain gold ship".split()
     pairs = [w for _ in range(20_000) for k in [rng.randrange(8)] for w in words[2 * k : 2 * k + 2]]
