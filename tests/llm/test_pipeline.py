@@ -105,3 +105,29 @@ def test_operators_remove_what_they_have_staged(spark, sf):
     with _common.scratch(spark):
         line_dedup.dedup_lines(docs)
     assert Counter(x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - there) == kinds
+
+
+def test_staging_returns_the_driver_s_memory(spark, monkeypatch):
+    """A plan's freed blocks below one that is still held stay with the process unless they are trimmed."""
+    import ctypes
+
+    from quarryline.llm import _common
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    libc = ctypes.CDLL(None)
+    libc.malloc.restype, libc.free.argtypes, libc.memset.argtypes = ctypes.c_void_p, [ctypes.c_void_p], [ctypes.c_void_p, ctypes.c_int, ctypes.c_size_t]
+    blocks = [libc.malloc(60_000) for _ in range(4000)]
+    for b in blocks:
+        libc.memset(b, 1, 60_000)
+    for b in blocks[:-1]:
+        libc.free(b)
+    before = resident()
+    _common.stage(spark.range(1), "trimmed")
+    assert before - resident() > 150 << 20
+    libc.free(blocks[-1])
+    # the JVM has the command, and it is called without an error
+    monkeypatch.setattr(_common, "Py4JError", ZeroDivisionError)
+    _common.trim_driver(spark)
