@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -472,6 +473,64 @@ def test_lm_trains_on_when_all_logits_are_far_down(spark):
     assert not np.array_equal(got.inner, model.inner) and not np.array_equal(got.emb, model.emb)
 
 
+def many_ids():
+    """An untrained model with clusters, and windows of three texts, each with its end, in one batch."""
+    rng, counts = np.random.default_rng(5), np.arange(400, 0, -1.0)
+    inputs = lm_score.inputs_of(counts)
+    classes, inside = lm_score.classes_of(counts, inputs, rng.random((lm_score.INPUTS, 2 * (lm_score.SINGLES + 2))))
+    model = lm_score.untrained(inputs, classes, inside, np.bincount(classes, counts, lm_score.SINGLES + lm_score.CLUSTERS + 1))
+    model.inner[:] = rng.normal(0, 0.3, model.inner.shape)
+    return model, np.concatenate([lm_score.text_windows(rng.integers(0, 400, n)) for n in (20, 31, 50)])
+
+
+@pytest.mark.parametrize("down", [0, 300])
+def test_lm_gradient_by_differences(down):
+    """Against differences of the mean loss by the formula of the module's docstring, in float64; also where
+    all logits are so far down that their exponentials are 0 in float32."""
+    model, sample = many_ids()
+    model.bias -= down
+    clusters, ends = model.members(), lm_score.CONTEXT
+    log_softmax = lambda z: (z := z - z.max()) - np.log(np.exp(z).sum())
+
+    def loss(p):
+        out = []
+        for row in sample:
+            x = p["emb"][np.append(model.inputs, 0)[np.maximum(row[:-1], -1)]] + p["pos"]
+            for j in range(ends, len(row) - 1):
+                if row[j + 1] == -1 or (row[j + 1] == -2 and row[j] == -2):
+                    continue
+                a = log_softmax(x[j] @ p["wq"] @ (x[: j + 1] @ p["wk"]).T / np.sqrt(lm_score.DIM))
+                g = np.maximum((x[j] + np.exp(a) @ (x[: j + 1] @ p["wv"])) @ p["w1"] + p["b1"], 0)
+                c = 0 if row[j + 1] < 0 else model.classes[row[j + 1]]
+                out.append(-log_softmax(g @ p["out"] + p["bias"])[c])
+                if c in clusters:
+                    own, share = clusters[c]
+                    out[-1] -= log_softmax(p["inner"][own] @ g + share)[own.tolist().index(model.inputs[row[j + 1]])]
+        return np.mean(out)
+
+    trainer = lm_score.Trainer(model, 1)
+    good, ids = lm_score.expected(sample), np.maximum(sample, -1)
+    y = ids[:, 1 + lm_score.CONTEXT :]
+    trainer.gradient(trainer.inputs[ids[:, :-1]], trainer.inputs[y], trainer.classes[y], good)
+    at, rng = {k: v.astype(np.float64) for k, v in trainer.p.items()}, np.random.default_rng(2)
+    for k, v in at.items():
+        way = rng.normal(size=v.shape)
+        want = (loss(at | {k: v + 1e-6 * way}) - loss(at | {k: v - 1e-6 * way})) / 2e-6
+        assert (trainer.grad[k] * way).sum() == pytest.approx(want, rel=1e-2, abs=1e-3), k
+
+
+def test_lm_steps_make_no_large_arrays():
+    """What a step needs is made once: a step's new arrays are small beside its logits (1.9 MB)."""
+    model, sample = many_ids()
+    trainer, batch = lm_score.Trainer(model, 1), np.resize(sample, (96, sample.shape[1]))
+    trainer.fit(batch, 0.01)
+    tracemalloc.start()
+    trainer.fit(batch, 0.01)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1 << 20
+
+
 def test_lm_learns_from_all_of_a_long_text(spark):
     rng, words = random.Random(4), "sun tree road blue fish door hand cold stone milk bird fire leaf rain gold ship".split()
     pairs = [w for _ in range(20_000) for k in [rng.randrange(8)] for w in words[2 * k : 2 * k + 2]]
