@@ -519,6 +519,18 @@ def test_lm_gradient_by_differences(down):
         assert (trainer.grad[k] * way).sum() == pytest.approx(want, rel=1e-2, abs=1e-3), k
 
 
+def test_lm_is_a_distribution_with_rare_ids():
+    """Rare ids, which the model does not tell apart, are a class of their own beside the clusters."""
+    counts = np.arange(6000, 0, -1.0)
+    inputs = lm_score.inputs_of(counts)
+    classes, inside = lm_score.classes_of(counts, inputs, np.random.default_rng(5).random((lm_score.INPUTS, 2 * (lm_score.SINGLES + 2))))
+    scorer = lm_score.Scorer(lm_score.untrained(inputs, classes, inside, np.bincount(classes, counts)))
+    assert (inputs == 1).sum() > 1000 and not set(classes[inputs == 1]) & set(classes[inputs > 1])
+    z, y, _, _ = lm_score.windows([np.array([k]) for k in range(6000)] + [np.zeros(0, int)])
+    first = scorer.log_probabilities(scorer.inputs[z], scorer.classes[y], scorer.inputs[y])[:, 0] / np.log(10) + scorer.inside[y[:, 0]]
+    assert (10.0**first).sum() == pytest.approx(1, abs=1e-3)
+
+
 def test_lm_steps_make_no_large_arrays():
     """What a step needs is made once: a step's new arrays are small beside its logits (1.9 MB)."""
     model, sample = many_ids()
