@@ -109,6 +109,32 @@ def test_chains_with_gaps_and_repeats(spark):
     assert accepted(frame(log[2:]), head=log[1][10]) == [3, 4, 5, 6] and accepted(frame(log[2:])) == []
 
 
+@pytest.fixture
+def no_groups(monkeypatch):
+    """Fails whatever takes all records of a table into Python at once."""
+    from pyspark.sql import GroupedData
+
+    def whole(*_, **__):
+        raise AssertionError("a whole group in Python")
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", whole)
+
+
+@pytest.mark.parametrize("chains", [1, 16])
+def test_long_chains_are_made_in_batches(spark, sf, no_groups, chains):
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, 7)
+    try:
+        log = catalogue.orders_log(spark, sf, chains)
+    finally:
+        spark.conf.unset(size)
+    found = changelog.links(log).agg(F.count("*"), F.count(F.when(F.col("hash_ok") & F.col("link_ok"), 1)), F.count_distinct("table_id"), F.count(F.when(F.col("previous_commit_hash") == changelog.GENESIS, 1))).first()
+    orders = catalogue.table(spark, sf, "orders").select((F.col("o_orderkey") % 3 == 0).cast("int").alias("a"), (F.col("o_orderkey") % 5 == 0).cast("int").alias("b"))
+    n = orders.agg(F.sum(1 + F.col("a") + F.col("b"))).first()[0]
+    assert tuple(found) == (n, n, chains, chains)
+    assert log.groupBy("table_id").agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b")).filter("a <> 1 OR b <> n").count() == 0
+
+
 def test_ordered_replay_by_any_field(spark):
     writer = changelog.LogWriter(clock=lambda: 1)
     said = ["INSERT INTO t (k, s) VALUES (1, 'a')", "INSERT INTO t (k, s) VALUES (2, 'a')", "UPDATE t SET s = 'b' WHERE s = 'a'", "UPDATE t SET k = 5 WHERE k = 1", "INSERT INTO t (k, s) VALUES (5, 'c')", "DELETE FROM t WHERE k = 5", "UPDATE t SET s = NULL WHERE s = 'b'", "DELETE FROM t WHERE s = 'b'"]
