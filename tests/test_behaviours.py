@@ -1,6 +1,7 @@
 """Foreign keys on updates, renames, stored functions, streams with changed records, and the catalogue against DuckDB."""
 
 import json
+import re
 
 import duckdb
 import pytest
@@ -135,6 +136,47 @@ def test_long_chains_are_made_in_batches(spark, sf, no_groups, chains):
     assert log.groupBy("table_id").agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b")).filter("a <> 1 OR b <> n").count() == 0
 
 
+def walked_by_hand(log, strict, head):
+    """The rule itself, on a list of records in the order of seq."""
+    last, out = head, []
+    for r in sorted(log, key=lambda r: (r[1], r[2])):
+        bare = r[10] is None
+        bared = re.sub(',"currentCommitHash":"[^"]*"', "", r[12])
+        good = not strict if bare else changelog.sha(bared) == r[10] and r[9] == last
+        last = r[10] if good and not bare else last
+        out += [r[2]] * good
+    return sorted(out)
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1 << 16])
+@pytest.mark.parametrize("strict", [False, True])
+def test_broken_chains_are_walked_by_runs(spark, monkeypatch, no_groups, chunk, strict):
+    monkeypatch.setattr(changelog, "CHUNK", chunk)
+    writer = changelog.LogWriter(clock=lambda: 1)
+    log = [writer.record(f"INSERT INTO t (k) VALUES ({k})") for k in range(9)]
+    named = lambda r, table, seq, digest: (table, seq, f"{table}{digest}", *r[3:])
+    forged = lambda r: (*r[:12], r[12].replace('"v":1', '"v":2'))
+    cases = {
+        "forged": [*log[:4], forged(log[4]), *log[5:]],
+        # the forged one comes again as it was, so what was written after it is linked to it
+        "mended": [*log[:4], forged(log[4]), (*log[4][:1], 7, *log[4][2:]), *[(r[0], r[1] + 3, *r[2:]) for r in log[5:]]],
+        # a record comes again with a new number and the next follows it
+        "again": [*log[:3], (*log[2][:1], 4, *log[2][2:]), *[(r[0], r[1] + 1, *r[2:]) for r in log[3:]]],
+        "old": [*log[:5], (*log[1][:1], 6, *log[1][2:]), (*log[2][:1], 7, *log[2][2:]), (*log[5][:1], 8, *log[5][2:])],
+        "twin": [*log[:5], log[4], *log[5:]],
+        "bare": [*log[:3], (*log[3][:10], None, *log[3][11:]), *[(r[0], r[1], *r[2:]) for r in log[4:]]],
+        "gap": [*log[:3], *log[4:]],
+        "jump": [(r[0], r[1] + 5 * (r[1] > 4), *r[2:]) for r in log],
+        "first": log[2:],
+        "sound": log,
+    }
+    made = {t: [named(r, t, r[1], str(i)) for i, r in enumerate(records)] for t, records in cases.items()}
+    frame = spark.createDataFrame([r for records in made.values() for r in records], changelog.SCHEMA)
+    for head in (changelog.GENESIS, log[1][10]):
+        got = sorted(r[0] for r in changelog.verify(frame, strict, head).filter("accepted").select("tx_digest").collect())
+        assert got == sorted(d for records in made.values() for d in walked_by_hand(records, strict, head))
+
+
 def test_ordered_replay_by_any_field(spark):
     writer = changelog.LogWriter(clock=lambda: 1)
     said = ["INSERT INTO t (k, s) VALUES (1, 'a')", "INSERT INTO t (k, s) VALUES (2, 'a')", "UPDATE t SET s = 'b' WHERE s = 'a'", "UPDATE t SET k = 5 WHERE k = 1", "INSERT INTO t (k, s) VALUES (5, 'c')", "DELETE FROM t WHERE k = 5", "UPDATE t SET s = NULL WHERE s = 'b'", "DELETE FROM t WHERE s = 'b'"]
