@@ -1,11 +1,13 @@
 """Foreign keys on updates, renames, stored functions, streams with changed records, and the catalogue against DuckDB."""
 
 import json
+import random
 import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarryline.engine import Engine, renamed
 from quarryline.errors import ConstraintError, EngineError, PrivilegeError
@@ -184,6 +186,36 @@ def test_ordered_replay_by_any_field(spark):
     assert [tuple(r) for r in changelog.replay(log, catalogue.log_schema()).collect()] == [(2, None)]
 
 
+def test_ordered_replay_of_shared_numbers(spark, no_groups):
+    writer = changelog.LogWriter(clock=lambda: 1)
+    log = [writer.record(x) for x in ("INSERT INTO t (k, s) VALUES (1, 'a')", "UPDATE t SET k = 2 WHERE s = 'a'", "UPDATE t SET s = 'b' WHERE s = 'a'")]
+    frame = spark.createDataFrame([log[0], *((r[0], 2, *r[2:]) for r in log[1:])], changelog.SCHEMA).coalesce(1)
+    assert [tuple(r) for r in changelog.replay(frame, catalogue.log_schema()).collect()] == [(2, "b")]
+
+
+def test_ordered_replay_row_by_row(spark, no_groups):
+    """Random changes that test and set the same fields, against a fold of all records; a second table beside."""
+    rng, writer = random.Random(3), changelog.LogWriter(clock=lambda: 1)
+    value = lambda: rng.choice(["1", "2", "2.0", "2.5", "'1'", "'x'", "NULL", "TRUE"])
+    said = []
+    for _ in range(160):
+        t, f, g = rng.choice("tu"), rng.choice("abc"), rng.choice("abc")
+        said.append(rng.choice([f"INSERT INTO {t} (a, b, c) VALUES ({value()}, {value()}, {value()})"] * 3 + [f"UPDATE {t} SET {f} = {value()} WHERE {g} = {value()}"] * 3 + [f"DELETE FROM {t} WHERE {f} = {rng.choice(['2.5', 'NULL'])}"]))
+    log = [writer.record(x) for x in said]
+    kept: dict[str, list[dict]] = {"t": [], "u": []}
+    for r in log:
+        rows, (field, tested) = kept[r[0]], (r[7], json.loads(r[8] or "null"))
+        met = [x for x in rows if tested is not None and x.get(field) == tested]
+        if r[4] == "INSERT":
+            rows.append(json.loads(r[5]))
+        for x in met:
+            x.update(json.loads(r[6])) if r[4] == "UPDATE" else rows.remove(x)
+    schema = StructType().add("a", "string").add("b", "string").add("c", "string")
+    got = changelog.replay(spark.createDataFrame(log, changelog.SCHEMA), schema).collect()
+    text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr(tuple(text(x.get(c)) for c in "abc")) for rows in kept.values() for x in rows) != []
+
+
 @pytest.mark.parametrize("test", ["x > ANY (SELECT y FROM b)", "x >= ALL (SELECT y FROM b)", "x = ANY (SELECT y FROM b)", "x <> ALL (SELECT y FROM b)", "x <> ANY (SELECT y FROM b)", "x = ALL (SELECT y FROM b)", "x < ALL (SELECT y FROM b WHERE y > 100)", "x < ANY (SELECT y FROM b WHERE y > 100)"])
 @pytest.mark.parametrize("values", [[1, 2, 3], [2, None], [2, 2], [None]])
 def test_any_and_all(spark, test, values):
