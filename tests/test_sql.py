@@ -229,3 +229,19 @@ def test_merge_conflicts(spark):
     assert (out[1]["a"], out[1]["b"], out[1]["conflict"]) == ("y", 5, False) and out[2]["conflict"] and (out[3]["a"], out[3]["b"]) == ("n", 2)
     assert len(df((1, None, 2)).select(row_version(df((1, None, 2)))).first()[0]) == 64
     assert json.loads('{"a": 1}') == {"a": 1}
+
+
+@pytest.mark.parametrize("join", ["a JOIN b ON a.x < b.y", "a INNER JOIN b ON a.x < b.y AND a.x > 1", "b JOIN a ON a.x + b.y > 4990", "a CROSS JOIN b"])
+def test_joins_of_all_pairs_are_dealt_to_tasks(spark, monkeypatch, join):
+    from quarryline.operators import spread
+
+    monkeypatch.setattr(spread, "SIDE_ROWS", 100)
+    spark.range(0, 5000, 1, 1).selectExpr("CAST(id AS INT) AS x").createOrReplaceTempView("a")
+    spark.sql("SELECT * FROM VALUES (3), (4), (NULL) AS v(y)").createOrReplaceTempView("b")
+    text = f"SELECT a.x, b.y FROM {join}"
+    got = spark.sql(translate(text, spread=spread.Spread(spark)))
+    assert got.rdd.getNumPartitions() == 50
+    key = lambda r: (r["x"], r["y"] is None, r["y"])
+    assert sorted(got.collect(), key=key) == sorted(spark.sql(translate(text)).collect(), key=key)
+    for other in ("SELECT a.x FROM a JOIN b ON a.x = b.y", "SELECT a.x FROM a LEFT JOIN b ON a.x < b.y", "WITH c AS (SELECT 1 AS z) SELECT a.x FROM a JOIN b ON a.x < b.y"):
+        assert translate(other, spread=spread.Spread(spark)) == translate(other)
