@@ -245,3 +245,28 @@ def test_joins_of_all_pairs_are_dealt_to_tasks(spark, monkeypatch, join):
     assert sorted(got.collect(), key=key) == sorted(spark.sql(translate(text)).collect(), key=key)
     for other in ("SELECT a.x FROM a JOIN b ON a.x = b.y", "SELECT a.x FROM a LEFT JOIN b ON a.x < b.y", "WITH c AS (SELECT 1 AS z) SELECT a.x FROM a JOIN b ON a.x < b.y"):
         assert translate(other, spread=spread.Spread(spark)) == translate(other)
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT k, row_number() OVER (ORDER BY nullif(s, 'b') DESC, k) AS rn FROM t",
+    "SELECT u.k + 1 AS k, row_number() OVER (ORDER BY u.k DESC) AS rn, row_number() OVER (ORDER BY u.s NULLS FIRST, u.k) * 2 AS m FROM t AS u WHERE u.k > 100 ORDER BY k LIMIT 500",
+])
+def test_row_numbers_of_a_table_are_dealt_to_tasks(spark, text):
+    from quarryline.operators.spread import Spread
+
+    spark.sql("SELECT CAST(id AS INT) AS k, CASE id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS s, id AS other FROM range(3000)").createOrReplaceTempView("t")
+    got, plain = spark.sql(translate(text, spread=Spread(spark))), spark.sql(translate(text))
+    windows = [x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x and "__start" not in x]
+    assert all("__range" in x for x in windows) and windows
+    assert got.dtypes == plain.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT *, row_number() OVER (ORDER BY k) AS rn FROM t", "SELECT s, row_number() OVER (ORDER BY s) AS rn FROM t GROUP BY s", "SELECT a.k, row_number() OVER (ORDER BY a.k) AS rn FROM t AS a JOIN t AS b ON a.k = b.k",
+    "SELECT k FROM (SELECT k, row_number() OVER (ORDER BY k) AS rn FROM t) AS u WHERE rn < 3", "WITH t AS (SELECT 1 AS k) SELECT row_number() OVER (ORDER BY k) AS rn FROM t", "SELECT row_number() OVER (PARTITION BY s ORDER BY k) AS rn FROM t",
+])
+def test_other_row_numbers_stay(spark, text):
+    from quarryline.operators.spread import Spread
+
+    spark.sql("SELECT CAST(id AS INT) AS k, CASE id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS s, id AS other FROM range(3000)").createOrReplaceTempView("t")
+    assert translate(text, spread=Spread(spark)) == translate(text)
